@@ -108,6 +108,7 @@ def forward_slashes(path: Column) -> Column:
 
 
 def ancestors(folder: Column) -> Column:
-    """The folder and every folder above it."""
+    """The folder and every folder above it, up to the top folder ``.``."""
     parts = F.split(folder, "/")
-    return F.transform(parts, lambda part, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
+    above = F.transform(parts, lambda part, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
+    return F.array_union(F.array(F.lit(".")), above)

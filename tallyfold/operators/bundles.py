@@ -213,7 +213,7 @@ def bundle_lines(entries: DataFrame) -> DataFrame:
     """The JSON text of each bundle, one line per row: ``(file, lang, part, key, text)``.
 
     Languages and keys are sorted and indented by two blanks each. Sorting by ``file, lang, part, key``
-    puts the lines in order (part 0 opens, 1 holds entries, 2 closes). The last entry of a group drops
+    puts the lines in order (parts -1 and 0 open, 1 holds entries, 2 and 3 close). The last entry of a group drops
     its comma, so only the greatest key of each group is looked up, and no bundle is ever gathered in
     one row.
     """
@@ -238,12 +238,12 @@ def bundle_lines(entries: DataFrame) -> DataFrame:
             )
         ),
     )
-    # The empty language sorts before all others; the end of the file needs one that sorts after them.
+    # The greatest code point keeps the end of the file behind all languages.
     outer = last_lang.select(
         "file",
         F.inline(
             F.array(
-                F.struct(F.lit("").alias("lang"), F.lit(0).alias("part"), F.lit("{").alias("text")),
+                F.struct(F.lit("").alias("lang"), F.lit(-1).alias("part"), F.lit("{").alias("text")),
                 F.struct(F.lit("\U0010ffff"), F.lit(3), F.lit("}")),
             )
         ),

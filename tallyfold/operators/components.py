@@ -1,6 +1,6 @@
 """Components against bundles: keys used and defined, paths, orphans, seed names.
 
-Inputs: ``components`` are CORPUS rows; ``bundles`` are ``(dir, valid, has_source, n_keys)``, one row per
+Inputs: ``corpus`` holds CORPUS rows; ``bundles`` are ``(dir, valid, n_keys)``, one row per
 bundle folder, where ``valid`` is false for malformed JSON; ``keys`` are ``(dir, key)``, the source-language
 keys of the bundles.
 """
@@ -42,26 +42,20 @@ def _calls(scanned: DataFrame) -> DataFrame:
 
 
 def resolved_bundles(scanned: DataFrame, bundles: DataFrame) -> DataFrame:
-    """``(path, dir, keys, calls, own, bundle)`` per component that uses translations.
+    """``(path, keys, bundle)`` per component that uses translations.
 
-    ``own`` says that its folder has a bundle file. ``bundle`` is the folder whose keys count: its own,
-    or else that of the first call; NULL when neither can be read.
+    ``bundle`` is the folder whose keys count: its own, or else that of the first call; NULL when
+    neither can be read.
     """
-    own = bundles.select("dir", F.lit(True).alias("own"), F.when("valid", F.col("dir")).alias("own_bundle"))
-    first = bundles.where("valid").select(F.col("dir").alias("first_call"))
+    readable = bundles.where("valid").select("dir")
+    own = readable.withColumn("own", F.col("dir"))
+    shared = readable.select(F.col("dir").alias("first_call"), F.col("dir").alias("shared"))
     return (
         _using(scanned)
         .withColumn("first_call", F.get("calls", F.lit(0)))
         .join(own, "dir", "left")
-        .join(first.withColumn("shared_bundle", F.col("first_call")), "first_call", "left")
-        .select(
-            "path",
-            "dir",
-            "keys",
-            "calls",
-            F.coalesce("own", F.lit(False)).alias("own"),
-            F.coalesce("own_bundle", "shared_bundle").alias("bundle"),
-        )
+        .join(shared, "first_call", "left")
+        .select("path", "keys", F.coalesce("own", "shared").alias("bundle"))
     )
 
 
@@ -168,19 +162,22 @@ def keys_used_below(corpus: DataFrame) -> DataFrame:
 def unused_keys(scanned: DataFrame, bundles: DataFrame, keys: DataFrame, used_below: DataFrame) -> DataFrame:
     """``(dir, key, components, first_component)``: defined keys that nothing at or below the folder uses.
 
-    Only for bundles whose folder holds a component that uses translations. Each such component is
-    answerable for every unused key of its folder; as that is all pairs of the two, they are counted
+    Only for readable bundles whose folder holds a component that uses translations. Each such component
+    is answerable for every unused key of its folder; as that is all pairs of the two, they are counted
     here and spelled out by :func:`unused_key_issues`.
     """
-    # A .ts component is not among the .tsx files, and its own keys count for its own report only.
-    owners = resolved_bundles(scanned, bundles).where(F.col("own") & F.col("bundle").isNotNull())
-    by_dir = owners.groupBy("dir", "bundle").agg(
-        F.count(F.lit(1)).alias("components"), F.min("path").alias("first_component")
+    by_dir = (
+        _owners(scanned, bundles)
+        .groupBy("dir")
+        .agg(F.count(F.lit(1)).alias("components"), F.min("path").alias("first_component"))
     )
     free = keys.join(used_below, ["dir", "key"], "left_anti")
-    return free.withColumnRenamed("dir", "bundle").join(by_dir, "bundle").select(
-        "dir", "bundle", "key", "components", "first_component"
-    )
+    return free.join(by_dir, "dir").select("dir", "key", "components", "first_component")
+
+
+def _owners(scanned: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Components that use translations and have a readable bundle in their own folder."""
+    return _using(scanned).join(bundles.where("valid").select("dir"), "dir", "left_semi").select("path", "dir", "keys")
 
 
 def unused_key_issues(scanned: DataFrame, bundles: DataFrame, keys: DataFrame, used_below: DataFrame) -> DataFrame:
@@ -188,7 +185,7 @@ def unused_key_issues(scanned: DataFrame, bundles: DataFrame, keys: DataFrame, u
 
     For trees in which a folder holds few components; otherwise read :func:`unused_keys`.
     """
-    owners = resolved_bundles(scanned, bundles).where(F.col("own")).select("path", "dir", "keys")
+    owners = _owners(scanned, bundles)
     free = unused_keys(scanned, bundles, keys, used_below).select("dir", "key")
     pairs = owners.join(free, "dir").where(~F.array_contains("keys", F.col("key")))
     return issues(

@@ -16,20 +16,28 @@ def chosen_buckets(inventory: DataFrame, buckets: Iterable[str] | None) -> DataF
     return inventory if buckets is None else inventory.where(F.col("bucket").isin(*buckets))
 
 
-def mirror_diff(remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None = None) -> DataFrame:
+def mirror_diff(
+    remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None = None, existing: DataFrame | None = None
+) -> DataFrame:
     """``(bucket, key, action, remote_size, local_size)`` with action download, delete or keep.
 
     An object is downloaded when it is missing or its size differs, and deleted when only the local
-    side has it. Local system files are left alone. Buckets that the remote side lacks are not visited.
+    side has it. Local system files are never deleted. Buckets that do not exist remotely (by default
+    those without objects) are not visited.
     """
+    return _compared(remote, local, buckets, existing).where(F.col("action") != "system")
+
+
+def _compared(remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None, existing: DataFrame | None) -> DataFrame:
     source = chosen_buckets(remote, buckets).select("bucket", "key", F.coalesce("size", F.lit(0)).alias("remote_size"))
-    copies = chosen_buckets(local, buckets).where(~is_system_file(F.col("key")))
-    copies = copies.select("bucket", "key", F.col("size").alias("local_size"))
-    copies = copies.join(source.select("bucket").distinct(), "bucket", "left_semi")
+    visited = (remote if existing is None else existing).select("bucket").distinct()
+    copies = chosen_buckets(local, buckets).select("bucket", "key", F.col("size").alias("local_size"))
+    copies = copies.join(visited, "bucket", "left_semi")
     action = (
-        F.when(F.col("remote_size").isNull(), "delete")
-        .when(F.col("remote_size").eqNullSafe(F.col("local_size")), "keep")
-        .otherwise("download")
+        F.when(F.col("remote_size").eqNullSafe(F.col("local_size")), "keep")
+        .when(F.col("remote_size").isNotNull(), "download")
+        .when(is_system_file(F.col("key")), "system")
+        .otherwise("delete")
     )
     return source.join(copies, ["bucket", "key"], "full_outer").select(
         "bucket", "key", action.alias("action"), "remote_size", "local_size"
@@ -44,14 +52,15 @@ def mirror_counts(diff: DataFrame) -> DataFrame:
     )
 
 
-def mirror_apply(remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None = None) -> DataFrame:
+def mirror_apply(
+    remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None = None, existing: DataFrame | None = None
+) -> DataFrame:
     """The local inventory after the mirror run: kept and copied objects, and what is out of its reach."""
-    diff = mirror_diff(remote, local, buckets)
-    mirrored = diff.where(F.col("action") != "delete").select("bucket", "key", F.col("remote_size").alias("size"))
-    visited = chosen_buckets(remote, buckets).select("bucket").distinct()
+    after = _compared(remote, local, buckets, existing).where(F.col("action") != "delete")
+    mirrored = after.select("bucket", "key", F.coalesce("remote_size", "local_size").alias("size"))
+    visited = chosen_buckets(remote if existing is None else existing, buckets).select("bucket").distinct()
     outside = local.join(visited, "bucket", "left_anti").select("bucket", "key", "size")
-    system = local.where(is_system_file(F.col("key"))).join(visited, "bucket", "left_semi")
-    return mirrored.unionByName(outside).unionByName(system.select("bucket", "key", "size"))
+    return mirrored.unionByName(outside)
 
 
 def manifest(inventory: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def content_type(path: Column) -> Column:
     known = mimetypes.MimeTypes(filenames=())
     types = known.types_map[True]
     # Short forms such as .tgz stand for two extensions, of which the inner one decides.
-    inner = {short: mimetypes_inner(long) for short, long in known.suffix_map.items()}
+    inner = {short: _inner(long) for short, long in known.suffix_map.items()}
     last = _extension(path)
     packed = last.isin(*known.encodings_map)
     stem = F.when(packed, F.substr(path, F.lit(1), F.length(path) - F.length(last)))
@@ -96,6 +105,6 @@ def content_type(path: Column) -> Column:
     return _lookup(types, F.lower(ending))
 
 
-def mimetypes_inner(extensions: str) -> str:
+def _inner(extensions: str) -> str:
     """``.tar`` of ``.tar.gz``."""
     return extensions[: extensions.rindex(".")] if extensions.count(".") > 1 else extensions

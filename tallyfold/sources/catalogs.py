@@ -44,10 +44,10 @@ def documented_columns(catalog: DataFrame) -> DataFrame:
 def table_definitions(catalog: DataFrame, schemas: list[str], folder_schema: str | None = None) -> DataFrame:
     """``(schema, name, column, order, type, primary_key, ref)`` of the tables of the given schemas.
 
-    ``ref`` is the struct of a well-formed foreign key. A table whose schema differs from that of the
+    Rows of order 0 stand for the table itself. ``ref`` is the struct of a well-formed foreign key. A table whose schema differs from that of the
     folder it was found in (column ``folder_schema``) is left out, as is a name without a schema.
     """
-    rows = catalog.where((F.col("order") != 0) & F.col("table").contains(".")).withColumns(
+    rows = catalog.where(F.col("table").contains(".")).withColumns(
         {"schema": schema_part(F.col("table")), "name": table_part(F.col("table"))}
     )
     rows = rows.where(F.col("schema").isin(*schemas))
