@@ -36,4 +36,4 @@ def is_table_row(order_token: Column) -> Column:
 
 def order_number(order_token: Column) -> Column:
     """Position of the column; text that is no number stops the query under ANSI mode."""
-    return strip(order_token).cast("int")
+    return strip(order_token).cast("long")

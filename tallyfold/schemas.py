@@ -1,11 +1,11 @@
 """Row layouts shared by sources, operators and sinks."""
 
 CATALOG = (
-    "table string, column string, order int, type string, nullable boolean, primary_key boolean, "
+    "table string, column string, order long, type string, nullable boolean, primary_key boolean, "
     "foreign_key string, description string, sample_values string"
 )
 METADATA = (
-    "schema string, table string, column string, order int, type string, nullable boolean, "
+    "schema string, table string, column string, order long, type string, nullable boolean, "
     "primary_key boolean, foreign_key string"
 )
 EDGE = "node string, dep string"

@@ -24,7 +24,7 @@ def typed_catalog(raw: DataFrame) -> DataFrame:
     return raw.select(
         c["Table"].alias("table"),
         null_token(c["Column"]).alias("column"),
-        F.when(is_table_row(c["Order"]), F.lit(0)).otherwise(order_number(c["Order"])).alias("order"),
+        F.when(is_table_row(c["Order"]), F.lit(0).cast("long")).otherwise(order_number(c["Order"])).alias("order"),
         c["Type"].alias("type"),
         bool_token(c["Nullable?"]).alias("nullable"),
         bool_token(c["Primary Key?"]).alias("primary_key"),
