@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallyfold.plans.tables import Query
 
-MODULES = ("star",)
+MODULES = ("star", "schema_catalog")
 
 
 def _merged(attribute: str) -> dict:
