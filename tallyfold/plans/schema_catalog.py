@@ -345,7 +345,7 @@ def _quoted(x: str) -> str:
     )
 
 
-_DDL_SQL = f"""WITH {_RAW.replace("FROM orders)", "FROM orders QUALIFY schema_name <> 'pg_catalog')")}, {_FK},
+_DDL_SQL = f"""WITH {_RAW.replace("raw AS (", "every AS (", 1)}, raw AS (SELECT * FROM every WHERE schema_name <> 'pg_catalog'), {_FK},
 fk AS (
   SELECT schema_name, table_name, text, min((constraint_name, 1)) AS spot FROM (
     SELECT *, '    FOREIGN KEY (' || {_quoted("column_name")} || ') REFERENCES meta.' || ref_table || ' (' || ref_column || ')' AS text
