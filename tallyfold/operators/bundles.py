@@ -228,25 +228,13 @@ def bundle_lines(entries: DataFrame) -> DataFrame:
         comma(F.col("key") == F.col("last_key")),
     )
     body = entries.join(last_key, ["file", "lang"]).select("file", "lang", F.lit(1).alias("part"), "key", line.alias("text"))
-    frames = last_key.join(last_lang, "file").select(
-        "file",
-        "lang",
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("part"), F.concat(F.lit("  "), _json_string(F.col("lang")), F.lit(": {")).alias("text")),
-                F.struct(F.lit(2), F.concat(F.lit("  }"), comma(F.col("lang") == F.col("last_lang")))),
-            )
-        ),
+    frames = last_key.join(last_lang, "file")
+    opening = frames.select("file", "lang", F.lit(0).alias("part"), F.concat(F.lit("  "), _json_string(F.col("lang")), F.lit(": {")).alias("text"))
+    closing = frames.select(
+        "file", "lang", F.lit(2).alias("part"), F.concat(F.lit("  }"), comma(F.col("lang") == F.col("last_lang"))).alias("text")
     )
     # The greatest code point keeps the end of the file behind all languages.
-    outer = last_lang.select(
-        "file",
-        F.inline(
-            F.array(
-                F.struct(F.lit("").alias("lang"), F.lit(-1).alias("part"), F.lit("{").alias("text")),
-                F.struct(F.lit("\U0010ffff"), F.lit(3), F.lit("}")),
-            )
-        ),
-    )
-    edges = frames.unionByName(outer).withColumn("key", F.lit("")).select(body.columns)
-    return body.unionByName(edges)
+    first = last_lang.select("file", F.lit("").alias("lang"), F.lit(-1).alias("part"), F.lit("{").alias("text"))
+    final = last_lang.select("file", F.lit("\U0010ffff").alias("lang"), F.lit(3).alias("part"), F.lit("}").alias("text"))
+    edges = opening.unionByName(closing).unionByName(first).unionByName(final)
+    return body.unionByName(edges.withColumn("key", F.lit("")))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallyfold.plans.tables import Query
 
-MODULES = ("star", "schema_catalog", "dependency", "inventory")
+MODULES = ("star", "schema_catalog", "dependency", "inventory", "bundle_sets", "site")
 
 
 def _merged(attribute: str) -> dict:

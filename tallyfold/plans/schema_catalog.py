@@ -17,7 +17,6 @@ from tallyfold.operators.diagram import diagram_lines
 from tallyfold.operators.keys import foreign_key_columns, primary_key_columns, single_unique_columns
 from tallyfold.operators.reconcile import last_per_key
 from tallyfold.operators.snapshot import snapshot_diff
-from tallyfold.operators.summary import issue_counts, run_summary
 from tallyfold.plans.tables import table
 from tallyfold.schemas import CATALOG_HEADER
 from tallyfold.session import scratch_path
@@ -134,7 +133,7 @@ def documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_columns(without_generated_owners(both))
 
 
-def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     actual = actual_metadata(spark, sf_dir).where(~F.col("schema").isin(*SYSTEM_SCHEMAS, GENERATED_SCHEMA))
     actual = actual.withColumn("table", F.concat_ws(".", *TABLE))
     return catalog_issues(actual, documentation(spark, sf_dir), ["file_rank", "order"])
@@ -205,7 +204,7 @@ def catalog_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _differences(spark, sf_dir).select("type", "table", "column", "db_value", "catalog_value")
+    return differences(spark, sf_dir).select("type", "table", "column", "db_value", "catalog_value")
 
 
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,15 +258,6 @@ def er_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram_lines(table_definitions(catalog, schemas), schemas)
 
 
-def run_summary_of_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyfold.plans.bundle_sets import order_parity
-
-    checks = {"catalog": _differences(spark, sf_dir), "bundles": order_parity(spark, sf_dir)}
-    counts = issue_counts(checks)
-    totals = run_summary(counts, list(checks))
-    return counts.join(totals.select("source", "status", "total_issues"), "source")
-
-
 _RAW = f"""raw AS (
   SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'meta' WHEN o_orderstatus = 'O' THEN '{TEST_SCHEMA}'
       WHEN year(o_orderdate) < 1998 THEN '{GENERATED_SCHEMA}' ELSE 'pg_catalog' END AS schema_name,
