@@ -15,7 +15,7 @@ from tallyfold.sources.csv_files import load_strict
 from tallyfold.sources.files import is_component, is_system_file, named
 
 BUCKETS = ("click", "purchase", "signup", "view", "absent")
-NOON = F.lit("2024-01-16").cast("timestamp_ntz")
+SPLIT_DAY = "2024-01-16"
 
 
 def event_inventory(spark: SparkSession, sf_dir: str, recent: bool) -> DataFrame:
@@ -24,7 +24,8 @@ def event_inventory(spark: SparkSession, sf_dir: str, recent: bool) -> DataFrame
     Events of the second half of the month are the remote side, those of the first half the local copy,
     in which k = 0 stands for a system file.
     """
-    half = F.col("ts") >= NOON if recent else F.col("ts") < NOON
+    day = F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    half = F.col("ts") >= day if recent else F.col("ts") < day
     k = F.get_json_object("props", "$.k")
     name = F.concat(k, F.lit(".json")) if recent else F.when(k == "0", ".objects").otherwise(F.concat(k, F.lit(".json")))
     return (

@@ -103,6 +103,8 @@ def catalog_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, kind = F.col("o_totalprice"), F.upper("data_type")
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"))
     name = F.concat_ws(".", "schema", "table")
+    # The most expensive orders are documented as keys and refer to themselves.
+    target = F.when(F.col("part").isNotNull(), F.when(price > 480000, F.col("o_orderkey")).otherwise(F.col("part")))
     rows = columns.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
         name.alias("Table"),
         F.concat(F.lit(" "), F.col("column"), F.lit(" ")).alias("Column"),
@@ -115,7 +117,7 @@ def catalog_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(price < 50000, "").when(price < 100000, "yes").when(price < 250000, "FALSE").when(price < 260000, "false ").otherwise(" True").alias("Nullable?"),
         F.when(price < 60000, "").when(price > 480000, "TRUE").otherwise("FALSE").alias("Primary Key?"),
         F.when(F.col("o_orderpriority") == "2-HIGH", "")
-        .otherwise(F.coalesce(F.concat(F.lit("meta.cust__"), F.col("o_custkey"), F.lit(".o_"), F.col("part")), F.lit("")))
+        .otherwise(F.coalesce(F.concat(F.lit("meta.cust__"), F.col("o_custkey"), F.lit(".o_"), target), F.lit("")))
         .alias("Foreign Key"),
         F.concat(F.lit('Says "'), F.col("o_orderpriority"), F.lit('",\nstatus '), F.col("o_orderstatus")).alias("Description"),
         F.when(price > 400000, "").otherwise(F.concat_ws("|", F.col("o_orderkey"), F.col("o_custkey"))).alias("Sample Values"),
@@ -231,7 +233,7 @@ def identifier_exprs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.lit(c).alias("source"), F.col(c).alias("name"))
 
     names = column("part", "p_name").unionByName(column("nation", "n_name")).unionByName(column("customer", "c_name"))
-    names = names.unionByName(column("part", "p_brand")).unionByName(column("pages", "url"))
+    names = names.unionByName(column("part", "p_brand")).unionByName(column("pages", "url")).unionByName(column("events", "event_type"))
     name, qualified = F.col("name"), F.concat(F.lit("meta."), F.replace(F.col("name"), F.lit(" "), F.lit("__")))
     return names.select(
         "source",
@@ -296,7 +298,8 @@ _TOKENS = """docs AS (
       WHEN kind = 'CHARACTER' THEN 'TEXT' ELSE kind END AS typ,
     CASE WHEN o_totalprice < 100000 THEN NULL ELSE o_totalprice >= 260000 END AS nullable,
     CASE WHEN o_totalprice < 60000 THEN NULL ELSE o_totalprice > 480000 END AS pk,
-    CASE WHEN o_orderpriority <> '2-HIGH' THEN 'meta.cust__' || o_custkey || '.o_' || part END AS foreign_key,
+    CASE WHEN o_orderpriority <> '2-HIGH' THEN 'meta.cust__' || o_custkey || '.o_' ||
+      CASE WHEN part IS NOT NULL THEN CASE WHEN o_totalprice > 480000 THEN o_orderkey ELSE part END END END AS foreign_key,
     'Says "' || o_orderpriority || '",' || chr(10) || 'status ' || o_orderstatus AS description,
     CASE WHEN o_totalprice <= 400000 THEN o_orderkey || '|' || o_custkey END AS samples
   FROM raw LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS part FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
@@ -426,7 +429,8 @@ ORACLE = {
         SELECT schema_name || '.' || table_name AS "table", CASE WHEN NOT in_db THEN 'delete' WHEN NOT in_local THEN 'create'
           ELSE 'update' END AS action, schema_name || '/' || replace(table_name, '__', '/') || '/create.sql' AS path FROM t""",
     "identifier_exprs": f"""WITH n AS (SELECT 'p_name' AS source, p_name AS name FROM part UNION ALL SELECT 'n_name', n_name FROM nation
-          UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'url', url FROM pages),
+          UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'url', url FROM pages
+          UNION ALL SELECT 'event_type', event_type FROM events),
         x AS (SELECT *, replace(name, ' ', '__') AS t FROM n)
         SELECT source, name, {_quoted("name")} AS quoted, 'meta.' || {_quoted("t")} AS qualified,
           regexp_replace(replace(name, ' ', '_'), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS diagram,
