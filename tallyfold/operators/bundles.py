@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators.reconcile import issues
+from tallyfold.operators.reconcile import issue
+from tallyfold.schemas import ISSUE
+from tallyfold.sources.bundles import kind_of, members_of
 
 # The languages a bundle holds, in their order; the first is the source language.
 LANGUAGES = (
@@ -46,78 +48,60 @@ def key_parity(entries: DataFrame, present: DataFrame, languages: Sequence[str]
     )
 
 
-def _parity_issues(parity: DataFrame) -> DataFrame:
-    text = F.when(
-        F.col("type") == "missing_key",
-        F.format_string("Missing key '%s' in '%s' (present in '%s')", "key", "language", "reference"),
-    ).otherwise(F.format_string("Extra key '%s' in '%s' (not present in '%s')", "key", "language", "reference"))
-    rows = issues(parity, "", file=F.col("file"), language=F.col("language"), key=F.col("key"), text=F.col("type"), message=text)
-    return rows.withColumns({"type": F.col("text"), "text": F.lit(None).cast("string")})
+def bundle_issues(parsed: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
+    """All issues of bundle files as ISSUE rows, from the rows of ``parse_bundles``.
 
-
-def bundle_issues(
-    parsed: DataFrame, by_language: DataFrame, entries: DataFrame, languages: Sequence[str] = LANGUAGES
-) -> DataFrame:
-    """All issues of bundle files as ISSUE rows.
-
-    Inputs are the three stages of :mod:`tallyfold.sources.bundles`. Only the listed languages are
-    checked; a file with an empty object is fine.
+    A file is one row, so every check, the comparison of keys included, is made within the row: one pass,
+    no shuffle. Only the listed languages are checked; a file with an empty object is fine. Keys are
+    compared with those of the first listed language that is an object.
     """
-    file, lang, key = F.col("file"), F.col("lang"), F.col("key")
-    malformed = issues(
-        parsed.where(F.col("kind").isNull()),
-        "json_parse_error",
-        file=file,
-        message=F.format_string("Failed to parse bundle %s", file),
-    )
-    no_object = issues(
-        parsed.where(F.col("kind").isNotNull() & (F.col("kind") != "OBJECT")),
-        "invalid_format",
-        file=file,
-        message=F.lit("Bundle is not a valid JSON object"),
-    )
-    filled = parsed.where(F.size("members") > 0)
-    named = F.transform_values("members", lambda _, value: F.schema_of_variant(value))
-    absent = F.filter(_listed(languages), lambda x: F.coalesce(F.try_element_at("named", x), F.lit("VOID")) == "VOID")
-    missing = issues(
-        filled.select("file", named.alias("named")).select("file", F.explode(absent).alias("lang")),
-        "missing_language",
-        file=file,
-        language=lang,
-        message=F.format_string("Missing language '%s' in %s", lang, file),
+    file, members = F.col("file"), F.col("members")
+    langs = F.transform(
+        _listed(languages),
+        lambda lang: F.struct(
+            lang.alias("lang"),
+            F.coalesce(kind_of(F.try_element_at(members, lang)), F.lit("VOID")).alias("kind"),
+            members_of(F.try_element_at(members, lang)).alias("members"),
+        ),
     )
-    known = by_language.where(lang.isin(*languages))
-    no_members = issues(
-        known.where(~F.col("kind").isin("OBJECT", "VOID")),
-        "invalid_format",
-        file=file,
-        language=lang,
-        message=F.format_string("Language '%s' is not a valid JSON object", lang),
-    )
-    checked = entries.where(lang.isin(*languages))
-    bad_key = issues(
-        checked.where(key == ""),
-        "invalid_key",
-        file=file,
-        language=lang,
-        key=key,
-        message=F.format_string("Invalid key in '%s': keys must be non-empty strings", lang),
-    )
-    bad_value = issues(
-        checked.where((F.col("value_type") != "STRING") | (F.col("value") == "")),
-        "invalid_value",
-        file=file,
-        language=lang,
-        key=key,
-        message=F.format_string("Invalid value in '%s' for key '%s': values must be non-empty strings", lang, key),
-    )
-    valid = known.where(F.col("kind") == "OBJECT").select("file", "lang")
-    parity = _parity_issues(key_parity(checked, valid, languages))
-    parts = [malformed, no_object, missing, no_members, bad_key, bad_value, parity]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    read = parsed.select("file", "kind", members.alias("members"), langs.alias("langs"))
+    read = read.withColumn("valid", F.filter("langs", lambda x: x["kind"] == "OBJECT"))
+    read = read.withColumn("reference", F.get("valid", F.lit(0)))
+    valid, reference = F.col("valid"), F.col("reference")
+    none = F.array().cast(f"array<struct<{', '.join(f'`{n}`: {t}' for n, t in ISSUE.items())}>>")
+
+    def of_file(condition: Column, type_: str, message: Column) -> Column:
+        return F.when(condition, F.array(issue(type_, file=file, message=message))).otherwise(none)
+
+    def of_language(condition, type_: str, text: str) -> Column:
+        return F.transform(
+            F.filter("langs", condition),
+            lambda x: issue(type_, file=file, language=x["lang"], message=F.format_string(text, x["lang"])),
+        )
+
+    def of_keys(keys, type_: str, text: str) -> Column:
+        def one(lang: Column, key: Column) -> Column:
+            message = F.format_string(text, lang, key, reference["lang"])
+            return issue(type_, file=file, language=lang, key=key, message=message)
+
+        return F.flatten(F.transform(valid, lambda x: F.transform(keys(x["members"]), lambda key: one(x["lang"], key))))
+
+    def bad_values(entries: Column) -> Column:
+        text = F.map_filter(entries, lambda key, v: (kind_of(v) != "STRING") | (F.try_variant_get(v, "$", "string") == ""))
+        return F.map_keys(text)
+
+    known = F.map_keys(reference["members"])
+    found = [
+        of_file(F.col("kind").isNull(), "json_parse_error", F.format_string("Failed to parse bundle %s", file)),
+        of_file(F.col("kind") != "OBJECT", "invalid_format", F.lit("Bundle is not a valid JSON object")),
+        F.when(F.size("members") > 0, of_language(lambda x: x["kind"] == "VOID", "missing_language", "Missing language '%s'")).otherwise(none),
+        of_language(lambda x: ~x["kind"].isin("OBJECT", "VOID"), "invalid_format", "Language '%s' is not a valid JSON object"),
+        of_keys(lambda m: F.filter(F.map_keys(m), lambda key: key == ""), "invalid_key", "Invalid key in '%s': keys must be non-empty strings"),
+        of_keys(bad_values, "invalid_value", "Invalid value in '%s' for key '%s': values must be non-empty strings"),
+        of_keys(lambda m: F.array_except(known, F.map_keys(m)), "missing_key", "Missing key in '%s': '%s' (present in '%s')"),
+        of_keys(lambda m: F.array_except(F.map_keys(m), known), "extra_key", "Extra key in '%s': '%s' (not present in '%s')"),
+    ]
+    return read.select(F.inline(F.concat(*found)))
 
 
 def gap_plan(

@@ -20,7 +20,11 @@ GLOBAL_BUNDLE_DIR = "providers/TranslationProvider"
 
 
 def scanned_components(corpus: DataFrame, attributes: tuple[str, ...] = text.TEXT_ATTRIBUTES) -> DataFrame:
-    """``(path, dir, uses, keys, calls, aliases, found)``: every extraction in one pass over the texts."""
+    """``(path, dir, uses, keys, calls, aliases, found)``: every extraction in one pass over the texts.
+
+    The checks read this several times; write it once (:func:`tallyfold.session.written`), as it is far
+    smaller than the texts.
+    """
     content = F.col("content")
     return corpus.where(is_component(F.col("path"))).select(
         "path",

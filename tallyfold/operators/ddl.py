@@ -18,20 +18,12 @@ LINE_ORDER = [*TABLE, "section", "constraint", "position"]
 _HEAD, _COLUMNS, _PRIMARY, _FOREIGN_HEAD, _FOREIGN, _END = range(6)
 
 
-def _lines(section: int, texts: list[Column]) -> Column:
-    """Constant lines of one section."""
-    return F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(section).alias("section"),
-                    F.lit("").alias("constraint"),
-                    F.lit(i).cast("long").alias("position"),
-                    text.alias("text"),
-                )
-                for i, text in enumerate(texts)
-            ]
-        )
+def _line(section: int, position: int, text: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"),
+        F.lit("").alias("constraint"),
+        F.lit(position).cast("long").alias("position"),
+        text.alias("text"),
     )
 
 
@@ -68,22 +60,28 @@ def ddl_lines(columns: DataFrame, primary_keys: DataFrame, unique: DataFrame, fo
         .join(foreign.groupBy(*TABLE).agg(F.max("at").alias("last_fk")), TABLE, "left")
     )
 
+    # The lines that each table has once; a line of NULL is left out.
     schema, table = quote_identifier(F.col("schema")), quote_identifier(F.col("table"))
-    head = tables.select(
-        *TABLE,
-        _lines(
-            _HEAD,
-            [
-                F.lit("-- Schema Creation"),
-                F.format_string("CREATE SCHEMA IF NOT EXISTS %s;", schema),
-                F.lit(""),
-                F.lit("-- Table Creation"),
-                F.format_string("CREATE TABLE %s.%s (", schema, table),
-                F.lit(""),
-                F.lit("    -- Columns"),
-            ],
-        ),
-    )
+    has_fk = F.col("last_fk").isNotNull()
+    single = [
+        (_HEAD, F.lit("-- Schema Creation")),
+        (_HEAD, F.format_string("CREATE SCHEMA IF NOT EXISTS %s;", schema)),
+        (_HEAD, F.lit("")),
+        (_HEAD, F.lit("-- Table Creation")),
+        (_HEAD, F.format_string("CREATE TABLE %s.%s (", schema, table)),
+        (_HEAD, F.lit("")),
+        (_HEAD, F.lit("    -- Columns")),
+        (_PRIMARY, F.lit("")),
+        (_PRIMARY, F.lit("    -- Primary Key")),
+        (_PRIMARY, F.concat(F.lit("    PRIMARY KEY ("), F.col("pk"), F.when(has_fk, "),").otherwise(")"))),
+        (_FOREIGN_HEAD, F.when(has_fk, "")),
+        (_FOREIGN_HEAD, F.when(has_fk, "    -- Foreign Keys")),
+        (_END, F.lit("")),
+        (_END, F.lit(");")),
+    ]
+    first = {section: i for i, (section, _) in reversed(list(enumerate(single)))}
+    lines = F.array(*[_line(section, i - first[section], text) for i, (section, text) in enumerate(single)])
+    frame = tables.select(*TABLE, F.inline(F.filter(lines, lambda line: line["text"].isNotNull())))
 
     default = F.nullif(F.col("default"), F.lit(""))
     serial = is_serial(F.col("data_type"), default)
@@ -107,18 +105,6 @@ def ddl_lines(columns: DataFrame, primary_keys: DataFrame, unique: DataFrame, fo
         line.alias("text"),
     )
 
-    comma = F.when(F.col("last_fk").isNull(), "").otherwise(",")
-    primary_head = tables.select(*TABLE, _lines(_PRIMARY, [F.lit(""), F.lit("    -- Primary Key")]))
-    primary = tables.where(F.col("pk").isNotNull()).select(
-        *TABLE,
-        F.lit(_PRIMARY).alias("section"),
-        F.lit("").alias("constraint"),
-        F.lit(2).cast("long").alias("position"),
-        F.concat(F.lit("    PRIMARY KEY ("), F.col("pk"), F.lit(")"), comma).alias("text"),
-    )
-    foreign_head = tables.where(F.col("last_fk").isNotNull()).select(
-        *TABLE, _lines(_FOREIGN_HEAD, [F.lit(""), F.lit("    -- Foreign Keys")])
-    )
     foreign_body = foreign.join(tables.select(*TABLE, "last_fk"), TABLE).select(
         *TABLE,
         F.lit(_FOREIGN).alias("section"),
@@ -126,8 +112,4 @@ def ddl_lines(columns: DataFrame, primary_keys: DataFrame, unique: DataFrame, fo
         F.col("at.position").alias("position"),
         F.concat(F.col("text"), F.when(F.col("at") == F.col("last_fk"), "").otherwise(",")).alias("text"),
     )
-    end = tables.select(*TABLE, _lines(_END, [F.lit(""), F.lit(");")]))
-    result = head
-    for part in (body, primary_head, primary, foreign_head, foreign_body, end):
-        result = result.unionByName(part)
-    return result
+    return frame.unionByName(body).unionByName(foreign_body)

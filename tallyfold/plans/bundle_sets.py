@@ -104,9 +104,7 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_bundles(document_bundles(spark, sf_dir))
-    languages = bundle_languages(parsed)
-    return bundle_issues(parsed, languages, bundle_entries(languages))
+    return bundle_issues(parse_bundles(document_bundles(spark, sf_dir)))
 
 
 def bundle_file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

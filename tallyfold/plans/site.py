@@ -16,6 +16,7 @@ from tallyfold.operators.reconcile import issues
 from tallyfold.operators.summary import issue_counts, run_summary, translation_summary
 from tallyfold.plans import bundle_sets, schema_catalog
 from tallyfold.plans.tables import table
+from tallyfold.session import written
 from tallyfold.sources.corpus import corpus_from_table
 
 PAGE_ATTRIBUTES = ("content", "class", "lang", "charset", "href")
@@ -78,7 +79,7 @@ def site_bundles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.scanned_components(site_corpus(spark, sf_dir))
+    return written(ops.scanned_components(site_corpus(spark, sf_dir)), "scanned")[0]
 
 
 def used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,38 +90,28 @@ def used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hardcoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard-coded text of the pages themselves, and its place."""
     found = text.hardcoded_text(F.col("html"), PAGE_ATTRIBUTES)
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("f"))
-    return rows.select("page_id", "f.kind", "f.text", "f.line", "f.context")
-
-
-def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles, _ = site_bundles(spark, sf_dir)
-    return ops.component_issues(_scanned(spark, sf_dir), bundles)
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(found))
 
 
 def component_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(spark, sf_dir).select("type", "file", "text", "line", "count")
-
-
-def _unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles, keys = site_bundles(spark, sf_dir)
-    return ops.unused_keys(_scanned(spark, sf_dir), bundles, keys, ops.keys_used_below(site_corpus(spark, sf_dir)))
+    bundles, _ = site_bundles(spark, sf_dir)
+    return ops.component_issues(_scanned(spark, sf_dir), bundles).select("type", "file", "text", "line", "count")
 
 
 def key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that are used but not defined, and keys that are defined but not used."""
     bundles, keys = site_bundles(spark, sf_dir)
-    missing = ops.missing_keys(_scanned(spark, sf_dir), bundles, keys)
-    unused = _unused(spark, sf_dir).select(
+    scanned = _scanned(spark, sf_dir)
+    missing = ops.missing_keys(scanned, bundles, keys)
+    unused = ops.unused_keys(scanned, bundles, keys, ops.keys_used_below(site_corpus(spark, sf_dir))).select(
         F.lit("component_unused_key").alias("type"), F.col("dir").alias("place"), "key", "components"
     )
     return missing.select("type", F.col("file").alias("place"), "key", F.lit(None).cast("long").alias("components")).unionByName(unused)
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orphan_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles, _ = site_bundles(spark, sf_dir)
-    corpus = site_corpus(spark, sf_dir)
-    return ops.orphan_bundles(ops.scanned_components(corpus), bundles, corpus.select("path", "dir"))
+    return ops.orphan_bundles(_scanned(spark, sf_dir), bundles, site_corpus(spark, sf_dir).select("path", "dir"))
 
 
 def _seed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +149,13 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of a whole translation check: files, components, orphans and the global bundle."""
     bundles, keys = site_bundles(spark, sf_dir)
-    orphans = issues(_orphans(spark, sf_dir), "orphaned_translation_folder", file=F.col("dir"))
-    missing = ops.missing_keys(_scanned(spark, sf_dir), bundles, keys)
-    components = _issues(spark, sf_dir).unionByName(missing).unionByName(orphans)
+    scanned = _scanned(spark, sf_dir)
+    orphans = ops.orphan_bundles(scanned, bundles, site_corpus(spark, sf_dir).select("path", "dir"))
+    components = (
+        ops.component_issues(scanned, bundles)
+        .unionByName(ops.missing_keys(scanned, bundles, keys))
+        .unionByName(issues(orphans, "orphaned_translation_folder", file=F.col("dir")))
+    )
     return translation_summary(bundle_sets.document_issues(spark, sf_dir), components, _seed_names(spark, sf_dir))
 
 
@@ -240,7 +235,7 @@ QUERIES = {
     "hardcoded_text": hardcoded_text,
     "component_issues": component_issues,
     "key_usage": key_usage,
-    "orphan_bundles": _orphans,
+    "orphan_bundles": orphan_bundles,
     "global_keys": global_keys,
     "run_summary": summary,
     "translation_summary": translations,

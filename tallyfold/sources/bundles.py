@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _kind(value: Column) -> Column:
+def kind_of(value: Column) -> Column:
     """OBJECT, ARRAY, STRING, VOID, ..."""
     return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
 
 
-def _members(value: Column) -> Column:
+def members_of(value: Column) -> Column:
     """Members of a JSON object; NULL for anything else."""
     return F.try_variant_get(value, "$", "map<string,variant>")
 
@@ -26,16 +26,17 @@ def parse_bundles(files: DataFrame) -> DataFrame:
     A repeated key counts once, with its last value.
     """
     files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    value = F.try_parse_json("content")
+    # Exploding a single value keeps the optimizer from parsing once per use.
+    value = F.explode(F.array(F.try_parse_json("content")))
     return files.select("file", value.alias("value")).select(
-        "file", _kind(F.col("value")).alias("kind"), _members(F.col("value")).alias("members")
+        "file", kind_of(F.col("value")).alias("kind"), members_of(F.col("value")).alias("members")
     )
 
 
 def bundle_languages(parsed: DataFrame) -> DataFrame:
     """``(file, lang, kind, members)`` for every language a file names."""
     return parsed.select("file", F.explode("members").alias("lang", "value")).select(
-        "file", "lang", _kind(F.col("value")).alias("kind"), _members(F.col("value")).alias("members")
+        "file", "lang", kind_of(F.col("value")).alias("kind"), members_of(F.col("value")).alias("members")
     )
 
 
@@ -45,8 +46,8 @@ def bundle_entries(languages: DataFrame) -> DataFrame:
         "file",
         "lang",
         "key",
-        F.coalesce(F.when(_kind(F.col("v")) == "STRING", F.try_variant_get("v", "$", "string")), F.to_json("v")).alias(
+        F.coalesce(F.when(kind_of(F.col("v")) == "STRING", F.try_variant_get("v", "$", "string")), F.to_json("v")).alias(
             "value"
         ),
-        _kind(F.col("v")).alias("value_type"),
+        kind_of(F.col("v")).alias("value_type"),
     )
