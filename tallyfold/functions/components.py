@@ -36,16 +36,14 @@ def uses_translations(content: Column) -> Column:
     return content.contains("useTranslation") | content.rlike(KEY_CALL)
 
 
-def _findings(content: Column, pattern: str, kind, text, keep) -> Column:
-    found = F.transform(
-        matches_with_lines(content, pattern),
-        lambda m: F.struct(
-            kind(m["match"]).alias("kind"),
-            strip(text(m["match"])).alias("text"),
-            m["line"].alias("line"),
-            strip(m["context"]).alias("context"),
-        ),
-    )
+def _findings(content: Column, pattern: str, kind, text, keep, with_context: bool) -> Column:
+    def finding(m: Column) -> Column:
+        context = [strip(m["context"]).alias("context")] if with_context else []
+        return F.struct(
+            kind(m["match"]).alias("kind"), strip(text(m["match"])).alias("text"), m["line"].alias("line"), *context
+        )
+
+    found = F.transform(matches_with_lines(content, pattern, with_context), finding)
     return F.filter(found, lambda f: keep(f["text"]))
 
 
@@ -62,8 +60,10 @@ def _attribute_value(text: Column) -> Column:
     return _plain(text) & ~text.startswith("$") & ~text.startswith("@") & ~text.contains("()")
 
 
-def hardcoded_text(content: Column, attributes: tuple[str, ...] = TEXT_ATTRIBUTES) -> Column:
-    """Visible text that is written into the component, as ``array<struct<kind, text, line, context>>``.
+def hardcoded_text(
+    content: Column, attributes: tuple[str, ...] = TEXT_ATTRIBUTES, with_context: bool = True
+) -> Column:
+    """Visible text that is written into the component, as ``array<struct<kind, text, line[, context]>>``.
 
     Element text, text attributes and link or button text are looked for one after the other; text
     found twice is reported twice.
@@ -76,6 +76,7 @@ def hardcoded_text(content: Column, attributes: tuple[str, ...] = TEXT_ATTRIBUTE
             lambda m: F.lit("jsx_text_node"),
             lambda m: F.regexp_extract(m, _ELEMENT, 1),
             _sentence,
+            with_context,
         ),
         _findings(
             content,
@@ -83,6 +84,7 @@ def hardcoded_text(content: Column, attributes: tuple[str, ...] = TEXT_ATTRIBUTE
             lambda m: F.concat(F.lit("attribute_"), F.regexp_extract(m, attribute, 1)),
             lambda m: F.regexp_extract(m, attribute, 2),
             _attribute_value,
+            with_context,
         ),
         _findings(
             content,
@@ -90,6 +92,7 @@ def hardcoded_text(content: Column, attributes: tuple[str, ...] = TEXT_ATTRIBUTE
             lambda m: F.concat(F.regexp_extract(m, _LINK, 1), F.lit("_text")),
             lambda m: F.regexp_extract(m, _LINK, 2),
             _sentence,
+            with_context,
         ),
     )
 

@@ -44,29 +44,26 @@ def captures(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def matches_with_lines(text: Column, pattern: str) -> Column:
-    """All matches in order as ``array<struct<match, line, context>>``.
+def matches_with_lines(text: Column, pattern: str, with_context: bool = True) -> Column:
+    """All matches in order as ``array<struct<match, line[, context]>>``.
 
-    ``line`` counts from 1 and is where the match starts; ``context`` is that whole line. A mark is put
+    ``line`` counts from 1 and is where the match starts; ``context`` is that whole line, repeated for
+    each of its matches, so leave it out where nothing reads it. A mark is put
     in front of every match; as marks add no line breaks, the marked and plain lines pair up, and the
     difference of their lengths is the number of matches starting there. Linear in the text, no join.
     """
     plain = F.split(text, "\n", -1)
     marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\x01$0")), "\n", -1)
     numbered = F.transform(marked, lambda line, i: F.struct(line.alias("marked"), (i + 1).alias("line")))
-    starts = F.flatten(
-        F.zip_with(
-            plain,
-            numbered,
-            lambda line, n: F.array_repeat(
-                F.struct(n["line"].alias("line"), line.alias("context")), F.length(n["marked"]) - F.length(line)
-            ),
-        )
-    )
-    return F.zip_with(
-        captures(text, pattern, 0),
-        starts,
-        lambda match, start: F.struct(
-            match.alias("match"), start["line"].alias("line"), start["context"].alias("context")
-        ),
-    )
+
+    def start(line: Column, number: Column) -> Column:
+        return F.struct(number.alias("line"), *([line.alias("context")] if with_context else []))
+
+    def starts_in(line: Column, n: Column) -> Column:
+        return F.array_repeat(start(line, n["line"]), F.length(n["marked"]) - F.length(line))
+
+    def found(match: Column, at: Column) -> Column:
+        context = [at["context"].alias("context")] if with_context else []
+        return F.struct(match.alias("match"), at["line"].alias("line"), *context)
+
+    return F.zip_with(captures(text, pattern, 0), F.flatten(F.zip_with(plain, numbered, starts_in)), found)

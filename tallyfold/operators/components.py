@@ -33,7 +33,7 @@ def scanned_components(corpus: DataFrame, attributes: tuple[str, ...] = text.TEX
         text.used_keys(content).alias("keys"),
         F.transform(text.bundle_calls(content), text.forward_slashes).alias("calls"),
         text.aliases(content).alias("aliases"),
-        text.hardcoded_text(content, attributes).alias("found"),
+        text.hardcoded_text(content, attributes, with_context=False).alias("found"),
     )
 
 

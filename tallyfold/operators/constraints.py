@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tallyfold.operators.reconcile import union_all
+
 Tables = dict[str, DataFrame]
 
 
@@ -46,19 +48,11 @@ def null_counts(name: str, df: DataFrame) -> DataFrame:
 
     Plain counts can be answered from file statistics by sources that push aggregates down.
     """
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c_{c}") for c in df.columns])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("table"),
-                F.lit(c).alias("column"),
-                (F.col("n") - F.col(f"c_{c}")).alias("nulls"),
-                F.col("n").alias("n_rows"),
-            )
-            for c in df.columns
-        ]
+    counts = df.selectExpr("count(1) AS n", *[f"count(`{c}`) AS `c_{c}`" for c in df.columns])
+    rows = ", ".join(
+        f"named_struct('table', '{name}', 'column', '{c}', 'nulls', n - `c_{c}`, 'n_rows', n)" for c in df.columns
     )
-    return counts.select(F.inline(rows))
+    return counts.selectExpr(f"inline(array({rows}))")
 
 
 def duplicated_values(df: DataFrame, column: str) -> DataFrame:
@@ -123,7 +117,7 @@ def constraint_report(
         parts.append(
             _check("UNIQUE", table, [column], duplicated_values(tables[table], column), F.count(F.lit(1)))
         )
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def load_status(report: DataFrame) -> DataFrame:
@@ -149,4 +143,4 @@ def next_ids(tables: Tables, id_columns: dict[str, str]) -> DataFrame:
         for table, column in id_columns.items()
         if column in tables[table].columns
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,14 @@ def issues(df: DataFrame, type_: str, **fields: Column) -> DataFrame:
     return df.select(F.inline(F.array(issue(type_, **fields))))
 
 
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union by name. Halving keeps the analysis of long unions short: each part is gone over a few times."""
+    if len(parts) == 1:
+        return parts[0]
+    middle = len(parts) // 2
+    return union_all(parts[:middle]).unionByName(union_all(parts[middle:]))
+
+
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key. Aggregates before the shuffle, so hot keys stay small."""
     rest = [c for c in df.columns if c not in keys]

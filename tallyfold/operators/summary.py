@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.reconcile import union_all
+
 # The issue types of components, in report order. Issues of the global bundle carry the
 # last four but belong to neither group of the report.
 COMPONENT_TYPES = (
@@ -29,7 +29,7 @@ COMPONENT_TYPES = (
 def issue_counts(checks: dict[str, DataFrame]) -> DataFrame:
     """``(source, type, issues)`` over several sets of issues."""
     parts = [df.select(F.lit(source).alias("source"), "type") for source, df in checks.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("source", "type").agg(F.count(F.lit(1)).alias("issues"))
+    return union_all(parts).groupBy("source", "type").agg(F.count(F.lit(1)).alias("issues"))
 
 
 def run_summary(counts: DataFrame, sources: list[str]) -> DataFrame:

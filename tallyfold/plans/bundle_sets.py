@@ -21,6 +21,7 @@ from tallyfold.operators.bundles import (
     without_keys,
 )
 from tallyfold.plans.tables import table
+from tallyfold.session import spread
 from tallyfold.sources.bundles import bundle_entries, bundle_languages, parse_bundles
 
 STATUSES = ("F", "O", "P")
@@ -96,7 +97,7 @@ def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("source") < "src14", F.when(F.col("source") == "src0", "{}").when(F.col("source") == "src1", "null").otherwise("[1]"))
         .otherwise(F.format_string('{"es": %s}', lines()))
     )
-    return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id", F.lit("translations.json")).alias("file"), content.alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(F.concat_ws("/", "source", "doc_id", F.lit("translations.json")).alias("file"), content.alias("content"))
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

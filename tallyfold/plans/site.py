@@ -16,7 +16,7 @@ from tallyfold.operators.reconcile import issues
 from tallyfold.operators.summary import issue_counts, run_summary, translation_summary
 from tallyfold.plans import bundle_sets, schema_catalog
 from tallyfold.plans.tables import table
-from tallyfold.session import written
+from tallyfold.session import spread, written
 from tallyfold.sources.corpus import corpus_from_table
 
 PAGE_ATTRIBUTES = ("content", "class", "lang", "charset", "href")
@@ -24,7 +24,7 @@ PAGE_ATTRIBUTES = ("content", "class", "lang", "charset", "href")
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = r"^https?://([^/]+)/([a-z]+)/"
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         "page_id",
         "url",
         "html",
@@ -90,7 +90,7 @@ def used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hardcoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard-coded text of the pages themselves, and its place."""
     found = text.hardcoded_text(F.col("html"), PAGE_ATTRIBUTES)
-    return table(spark, sf_dir, "pages").select("page_id", F.inline(found))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.inline(found))
 
 
 def component_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from tallyfold.operators.constraints import (
     orphans,
     unique_summary,
 )
+from tallyfold.operators.reconcile import union_all
 from tallyfold.plans.tables import COLUMNS, table, tables
 from tallyfold.sources.sql import run_sql
 
@@ -75,7 +74,7 @@ def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for r in UNREFERENCED
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +82,11 @@ def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [null_counts(n, df) for n, df in tables(spark, sf_dir).items()])
+    return union_all([null_counts(n, df) for n, df in tables(spark, sf_dir).items()])
 
 
 def unique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [unique_summary(t, table(spark, sf_dir, t), c) for t, c in UNIQUE])
+    return union_all([unique_summary(t, table(spark, sf_dir, t), c) for t, c in UNIQUE])
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
