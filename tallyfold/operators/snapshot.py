@@ -31,5 +31,5 @@ def snapshot_counts(diff: DataFrame) -> DataFrame:
 def files_to_delete(diff: DataFrame, files: DataFrame) -> DataFrame:
     """Existing definition and data files (path) of the tables to delete."""
     gone = diff.where(F.col("action") == "delete").select("path")
-    data = gone.select(F.regexp_replace("path", r"[^/]*\z", "seed.csv").alias("path"))
+    data = gone.select(F.regexp_replace("path", r"[^/]+\z", "seed.csv").alias("path"))
     return files.join(gone.unionByName(data), "path", "left_semi")

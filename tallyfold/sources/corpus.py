@@ -18,15 +18,14 @@ def corpus_from_table(df: DataFrame, path: Column, content: Column) -> DataFrame
 
 def read_corpus(spark: SparkSession, paths: list[str], root: str = "", skip_unreadable: bool = True) -> DataFrame:
     """One CORPUS row per file, paths relative to ``root``; unreadable files are skipped if asked."""
-    reader = spark.read.options(
+    reader = spark.read.format("text").options(
         wholetext=True,
         recursiveFileLookup=True,
         ignoreMissingFiles=skip_unreadable,
         ignoreCorruptFiles=skip_unreadable,
     )
-    files = reader.text(paths).select("value", F.col("_metadata.file_path").alias("uri"))
-    prefix = "file:" + "//" + root.rstrip("/") + "/" if root.startswith("/") else root
-    relative = F.when(F.col("uri").startswith(prefix), F.substr(F.col("uri"), F.lit(len(prefix) + 1))).otherwise(
-        F.col("uri")
-    )
-    return corpus_from_table(files, F.url_decode(relative), F.col("value"))
+    files = reader.load(paths).select("value", F.url_decode("_metadata.file_path").alias("path"))
+    top = root.rstrip("/") + "/"
+    at = F.instr("path", top) if root else F.lit(0)
+    relative = F.when(at > 0, F.substr(F.col("path"), at + len(top))).otherwise(F.col("path"))
+    return corpus_from_table(files, relative, F.col("value"))
