@@ -147,6 +147,25 @@ def incomplete_files(plan: DataFrame) -> DataFrame:
     )
 
 
+def generation_summary(entries: DataFrame, file: str | None = None, every: bool = False, force: bool = False, **plan) -> DataFrame:
+    """One row ``(status, message, folders_processed, files_generated)`` of a run over one file or over all.
+
+    ``files_generated`` counts languages with a gap over all files. Exactly one of ``file`` and ``every``
+    must be given; otherwise the status is error. ``plan`` goes to :func:`gap_plan`.
+    """
+    if bool(file) == every:
+        text = "Cannot provide both 'file' and 'every'" if every else "Must provide either 'file' or 'every'"
+        row = [("error", text, 0, 0)]
+        return entries.sparkSession.createDataFrame(row, "status string, message string, folders_processed long, files_generated long")
+    chosen = entries if every else entries.where(F.col("file") == file)
+    files = incomplete_files(gap_plan(chosen, force=force, **plan))
+    folders = F.count(F.lit(1)) if every else F.lit(1).cast("long")
+    totals = files.agg(folders.alias("folders_processed"), F.coalesce(F.sum("languages"), F.lit(0)).alias("files_generated"))
+    n, m = F.col("files_generated").cast("string"), F.col("folders_processed").cast("string")
+    message = F.format_string("Updated %s languages across %s files", n, m)
+    return totals.select(F.lit("success").alias("status"), message.alias("message"), "folders_processed", "files_generated")
+
+
 def memory_code(lang: Column, codes: dict[str, str] = MEMORY_CODES) -> Column:
     """The code of a language in the translation memory."""
     pairs = [F.lit(x) for item in codes.items() for x in item]

@@ -15,6 +15,7 @@ from tallyfold.operators.bundles import (
     bundle_lines,
     gap_fill,
     gap_plan,
+    generation_summary,
     incomplete_files,
     key_parity,
     removal_counts,
@@ -59,6 +60,10 @@ def gap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incomplete_files(order_gaps(spark, sf_dir))
 
 
+def gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation_summary(order_entries(spark, sf_dir), every=True, source=STATUSES[0], targets=STATUSES[1:])
+
+
 def order_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The memory knows the values of orders with a returned line item."""
     entries = order_entries(spark, sf_dir)
@@ -167,6 +172,7 @@ QUERIES = {
     "key_parity": order_parity,
     "gap_plan": order_gaps,
     "gap_files": gap_files,
+    "gap_summary": gap_summary,
     "gap_fill": order_fill,
     "bundle_remove_keys": order_removal,
     "bundle_write": order_lines,
@@ -185,6 +191,8 @@ ORACLE = {
     "gap_plan": f"WITH {_GAPS} SELECT * FROM plan",
     "gap_files": f"""WITH {_GAPS} SELECT file, count(DISTINCT lang) AS languages, count(*) FILTER (WHERE action = 'add') AS added,
         count(*) FILTER (WHERE action = 'remove') AS removed FROM plan GROUP BY file""",
+    "gap_summary": f"""WITH {_GAPS}, f AS (SELECT count(DISTINCT file) AS m, count(DISTINCT (file, lang)) AS n FROM plan)
+        SELECT 'success' AS status, 'Updated ' || n || ' languages across ' || m || ' files' AS message, m AS folders_processed, n AS files_generated FROM f""",
     "gap_fill": f"""WITH {_GAPS}, r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
         SELECT file, lang, key, value, 'kept' AS origin FROM o WHERE NOT EXISTS
           (SELECT 1 FROM plan WHERE plan.file = o.file AND plan.lang = o.lang AND plan.key = o.key)

@@ -128,7 +128,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to CSV and back; returns what comes back."""
     path = scratch_path(spark, "snapshot")
-    write_csv(_documents(spark, sf_dir), path, ["doc_id"])
+    write_csv(_documents(spark, sf_dir), path)
     return load_strict(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
 
 
@@ -137,7 +137,7 @@ def csv_strict_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, target = scratch_path(spark, "export"), scratch_path(spark, "loaded")
     turns = table(spark, sf_dir, "conversations")
     turns = turns.withColumn("role", F.when(F.col("role") == "user", "").otherwise(F.col("role")))
-    write_csv(turns, path, ["conv_id", "turn"], keep_empty=False)
+    write_csv(turns, path, keep_empty=False)
     replace_rows(load_strict(spark, path, "conv_id long, turn long, role string, text string"), target)
     return spark.read.parquet(target)
 

@@ -142,13 +142,9 @@ def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metadata = actual_metadata(spark, sf_dir)
-    listed = user_tables(metadata).select("table")
-    return (
-        metadata.withColumn("table", F.concat_ws(".", *TABLE))
-        .join(listed, "table", "left_semi")
-        .select("table", "column", "order", "type", "nullable", "primary_key", "foreign_key")
-    )
+    metadata = actual_metadata(spark, sf_dir).where(~F.col("schema").isin(*SYSTEM_SCHEMAS))
+    named = metadata.withColumn("table", F.concat_ws(".", *TABLE))
+    return named.select("table", "column", "order", "type", "nullable", "primary_key", "foreign_key")
 
 
 def metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

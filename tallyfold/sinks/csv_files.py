@@ -10,7 +10,7 @@ from tallyfold.functions.tokens import bool_text
 from tallyfold.schemas import CATALOG_HEADER
 
 # As quoted fields may span lines a file is read by one task, so files are kept short.
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 200_000
 
 
 def _nested_as_json(df: DataFrame) -> DataFrame:
@@ -20,13 +20,19 @@ def _nested_as_json(df: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, order_by: list[str], keep_empty: bool = True, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Header and rows in the given order, quoted only where needed.
+def write_csv(
+    df: DataFrame,
+    path: str,
+    order_by: list[str] | None = None,
+    keep_empty: bool = True,
+    rows_per_file: int = ROWS_PER_FILE,
+) -> None:
+    """Header and rows, quoted only where needed; without ``order_by`` nothing is sorted or moved.
 
     NULL is written as nothing. Empty text is written as ``""``, or like NULL without ``keep_empty``.
     """
     (
-        _nested_as_json(df.orderBy(*order_by))
+        _nested_as_json(df.orderBy(*order_by) if order_by else df)
         .write.options(
             header=True,
             escape='"',

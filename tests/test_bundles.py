@@ -13,6 +13,7 @@ from tallyfold.operators.bundles import (
     bundle_lines,
     gap_fill,
     gap_plan,
+    generation_summary,
     incomplete_files,
     key_parity,
     removal_counts,
@@ -90,6 +91,14 @@ def test_gaps(spark, rows):
     assert gap_plan(full, force=True).count() == 23
 
 
+def test_generation_summary(spark, rows):
+    e = entries(spark, ("f", "en", "hello", "H"), ("g", "en", "x", "X"), ("g", "es", "x", "X"))
+    assert rows(generation_summary(e, every=True)) == [("success", "Updated 45 languages across 2 files", 2, 45)]
+    assert rows(generation_summary(e, "g", targets=("es",))) == [("success", "Updated 0 languages across 1 files", 1, 0)]
+    assert [r[0] for r in rows(generation_summary(e), "status")] == ["error"]
+    assert [r[0] for r in rows(generation_summary(e, "f", every=True), "status")] == ["error"]
+
+
 def test_fill(spark, rows):
     e = entries(
         spark, ("f", "en", "a", "A"), ("f", "en", "b", "B"), ("f", "zh", "a", "old"), ("f", "zh", "extra", "E"), ("f", "xx", "q", "Q")
