@@ -217,7 +217,7 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables with a column since 1998 against tables with one before."""
     columns = raw_columns(spark, sf_dir)
     recent = F.year("o_orderdate") >= 1998
@@ -393,7 +393,7 @@ QUERIES = {
     "catalog_export": catalog_export,
     "catalog_reconcile": catalog_reconcile,
     "catalog_tables": catalog_tables,
-    "snapshot_diff": snapshot_tables,
+    "snapshot_diff": snapshot,
     "identifier_exprs": identifier_exprs,
     "ddl_text": ddl_text,
     "er_edges": er_edges,
