@@ -112,6 +112,17 @@ def seeded(label: str) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(label.encode()).digest()[:8], "little")))
 
 
+def least_linked(linked: np.ndarray) -> np.ndarray:
+    """The least member of each one's component in a symmetric matrix of links."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The connected components of undirected edges (a, b): one row (node, root), root the least node.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import components, saved, seeded, table
+from tallyfold.llm.common import components, least_linked, saved, seeded, table
 
 COSINE = 0.9
 RECALL = 0.99
@@ -124,17 +124,6 @@ def _filtered(kind: str, side: int, cosine: float, vectors: bool):
     return decode
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """The least member of each one's component in a matrix of links."""
-    root = np.arange(len(linked))
-    while True:
-        low = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1))
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def _compared(kind: str, side: int, cosine: float):
     def unit_of_work(rows: list[dict], left: int, right: int, filter_: int) -> Iterator[tuple]:
         """(node, n, root) of the vectors of a unit: n links counted here, root a vector it is connected with."""
@@ -163,7 +152,7 @@ def _compared(kind: str, side: int, cosine: float):
             earlier |= has @ has.T > 0
         here = linked & ~earlier
         weights = np.array([r["n"] for r in rows], np.float64)
-        links, root = (here @ weights).astype(np.int64), _roots(linked)
+        links, root = (here @ weights).astype(np.int64), least_linked(linked)
         for i in np.flatnonzero((links > 0) | (root != np.arange(len(rows)))).tolist():
             yield rows[i]["node"], int(links[i]), rows[root[i]]["node"]
 

@@ -40,17 +40,19 @@ END = hash_words([b"\n"])[0]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """An array as compressed planes of bytes, so that small numbers cost little."""
+    """An array, column after column, as compressed planes of bytes, so that small numbers cost little."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes())
+    flat = np.ascontiguousarray(values.T).reshape(-1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T).tobytes())
 
 
-def unpack(packed: bytes, kind: str) -> np.ndarray:
+def unpack(packed: bytes, kind: str, columns: int = 1) -> np.ndarray:
     import zstandard
 
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    flat = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return flat if columns == 1 else flat.reshape(columns, -1).T
 
 
 def pack_rising(values: np.ndarray) -> bytes:
@@ -133,7 +135,7 @@ class Block:
     def word_bucket(self, buckets: int) -> np.ndarray:
         return (mixed(self.words) % np.uint64(buckets)).astype(np.int64)
 
-    def pairs(self, counts: np.ndarray, buckets: int, hot: int) -> None:
+    def pairs(self, counts: np.ndarray, number: np.ndarray, buckets: int, hot: int) -> None:
         """Sets history, word, n (in training), bucket of the distinct pairs, and the pair of each token."""
         key = self.before * len(self.words) + self.tokens
         distinct, pair = np.unique(key, return_inverse=True)
@@ -142,7 +144,7 @@ class Block:
         parts = (counts[self.history] // hot + 1).astype(np.uint64)
         part = mixed(self.words[self.word]) % parts
         self.bucket = (mixed(self.words[self.history] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.word, self.history, self.bucket))
+        order = np.lexsort((number[self.word], number[self.history], self.bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.history, self.word, self.n, self.bucket = self.history[order], self.word[order], self.n[order], self.bucket[order]
@@ -169,10 +171,10 @@ def _ask_words(buckets: int):
     return ask
 
 
-_ANSWER = "block long, bucket long, words binary, values binary, spectrum array<long>, hot array<struct<word: long, seen: double, lower: double>>"
+_ANSWER = "block long, bucket long, words binary, values binary, spectrum array<long>, hot array<struct<word: long, stats: array<double>>>"
 _ANSWER_ARROW = pa.schema(
     [("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()), ("values", pa.binary()), ("spectrum", pa.list_(pa.int64()))]
-    + [("hot", pa.list_(pa.struct([("word", pa.int64()), ("seen", pa.float64()), ("lower", pa.float64())])))]
+    + [("hot", pa.list_(pa.struct([("word", pa.int64()), ("stats", pa.list_(pa.float64()))])))]
 )
 
 
@@ -182,134 +184,154 @@ def _spectrum(c: np.ndarray) -> list[int]:
     return [len(c), int(c.sum()), *np.bincount(c[c <= K + 1], minlength=K + 2)[1:].tolist()]
 
 
-def _count_words(rows: pa.Table) -> pa.Table:
-    """Of a bucket of words: its row of the word table (block NULL), and the counts for each block that asked."""
-    bucket = rows.column("bucket")[0].as_py()
-    asked = [unpack_rising(x) for x in rows.column("words").to_pylist()]
-    given = [unpack(x, "<i8") for x in rows.column("n").to_pylist()]
-    words, place = np.unique(np.concatenate(asked), return_inverse=True)
-    c = np.bincount(place, weights=np.concatenate(given), minlength=len(words)).astype(np.int64)
-    out = [{"block": None, "bucket": bucket, "words": pack_rising(words[c > 0]), "values": pack(c[c > 0].astype("<i8")), "spectrum": _spectrum(c), "hot": None}]
-    at = np.cumsum([0, *map(len, asked)])
-    for block, a, b in zip(rows.column("block").to_pylist(), at, at[1:], strict=False):
-        out.append({"block": block, "bucket": bucket, "words": None, "values": pack(c[place[a:b]].astype("<i8")), "spectrum": None, "hot": None})
-    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+def _count_words(buckets: int):
+    def count(rows: pa.Table) -> pa.Table:
+        """Of a bucket of words: its row of the word table (block NULL), and each word's count and number for each block that asked.
+
+        Numbers rise as counts fall, so those of common words are small.
+        """
+        bucket = rows.column("bucket")[0].as_py()
+        asked = [unpack_rising(x) for x in rows.column("words").to_pylist()]
+        given = [unpack(x, "<i8") for x in rows.column("n").to_pylist()]
+        words, place = np.unique(np.concatenate(asked), return_inverse=True)
+        c = np.bincount(place, weights=np.concatenate(given), minlength=len(words)).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-c, kind="stable")] = np.arange(len(words)) * buckets + bucket
+        both = np.stack([c, number], axis=1)
+        out = [{"block": None, "bucket": bucket, "words": pack_rising(words[c > 0]), "values": pack(both[c > 0]), "spectrum": _spectrum(c), "hot": None}]
+        at = np.cumsum([0, *map(len, asked)])
+        for block, a, b in zip(rows.column("block").to_pylist(), at, at[1:], strict=False):
+            out.append({"block": block, "bucket": bucket, "words": None, "values": pack(both[place[a:b]]), "spectrum": None, "hot": None})
+        return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+
+    return count
 
 
-def _counts(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
-    """The training counts of a block's words, from the answers of all buckets."""
+def _counts(block: Block, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The training counts and the numbers of a block's words, from the answers of all buckets."""
     order = np.argsort(block.word_bucket(buckets), kind="stable")
     got = sorted(zip(answers.column("bucket").to_pylist(), answers.column("values").to_pylist(), strict=True))
-    counts = np.empty(len(block.words), np.int64)
-    counts[order] = np.concatenate([unpack(x, "<i8") for _, x in got])
-    return counts
+    both = np.empty((len(block.words), 2), np.int64)
+    both[order] = np.concatenate([unpack(x, "<i8", 2) for _, x in got])
+    return both[:, 0], both[:, 1]
 
 
-_PAIRS = [("bucket", pa.int64()), ("block", pa.int64()), ("histories", pa.binary()), ("runs", pa.binary()), ("c_history", pa.binary()), ("words", pa.binary()), ("c_word", pa.binary()), ("n", pa.binary())]
+_PAIRS = [("bucket", pa.int64()), ("block", pa.int64()), ("histories", pa.binary()), ("runs", pa.binary()), ("words", pa.binary()), ("n", pa.binary())]
 
 
 def _ask_pairs(word_buckets: int, buckets: int, hot: int):
     def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """(bucket, block, histories with counts, pairs a history, words with counts, n)"""
         out = []
         for row in blocks.to_pylist():
             block = Block(row)
-            counts = _counts(block, answers, word_buckets)
-            block.pairs(counts, buckets, hot)
+            counts, number = _counts(block, answers, word_buckets)
+            block.pairs(counts, number, buckets, hot)
             for a, b in pairwise(_edges(block.bucket)):
-                history = block.history[a:b]
+                history, word = block.history[a:b], block.word[a:b]
                 head = np.flatnonzero(np.diff(history, prepend=-1))
-                word = block.word[a:b]
-                out.append(
-                    (int(block.bucket[a]), block.number, pack_rising(block.words[history[head]]), pack(np.diff(np.append(head, b - a)).astype("<i4")), pack(counts[history[head]].astype("<i8")))
-                    + (pack(block.words[word]), pack(counts[word].astype("<i8")), pack(block.n[a:b].astype("<i4")))
-                )
+                runs = np.diff(np.append(head, b - a)).astype("<i4")
+                histories = np.stack([number[history[head]], counts[history[head]]], axis=1)
+                words = np.stack([number[word], counts[word]], axis=1)
+                out.append((int(block.bucket[a]), block.number, pack(histories), pack(runs), pack(words), pack(block.n[a:b].astype("<i4"))))
         return pa.Table.from_pydict({name: [x[i] for x in out] for i, (name, _) in enumerate(_PAIRS)}, schema=pa.schema(_PAIRS))
 
     return ask
 
 
-def _merged_pairs(rows: pa.Table) -> dict[str, np.ndarray]:
-    """All pairs that blocks asked a bucket for, and the distinct ones: history, word, their counts."""
-    read = lambda name, kind: [unpack(x, kind) for x in rows.column(name).to_pylist()]
-    runs, asked = read("runs", "<i4"), read("words", "<u8")
-    history = np.repeat(np.concatenate([unpack_rising(x) for x in rows.column("histories").to_pylist()]), np.concatenate(runs))
-    c_history = np.repeat(np.concatenate(read("c_history", "<i8")), np.concatenate(runs))
-    word, c_word = np.concatenate(asked), np.concatenate(read("c_word", "<i8"))
-    histories, h = np.unique(history, return_inverse=True)
-    words, w = np.unique(word, return_inverse=True)
-    key, first, place = np.unique(h * np.int64(len(words)) + w, return_index=True, return_inverse=True)
-    c = np.bincount(place, weights=np.concatenate(read("n", "<i4")), minlength=len(key)).astype(np.int64)
-    return {"at": np.cumsum([0, *map(len, asked)]), "place": place, "c": c, "h": h[first], "histories": histories, "history": history[first], "word": word[first], "c_history": c_history[first], "c_word": c_word[first]}
+def _heavy(c_history: np.ndarray) -> np.ndarray:
+    """Histories that may leave nothing: all their pairs may have been seen over K times."""
+    return c_history > K
 
 
-def _pair_spectrum(rows: pa.Table) -> pa.Table:
-    c = _merged_pairs(rows)["c"]
-    return pa.Table.from_pylist([{"block": None, "bucket": rows.column("bucket")[0].as_py(), "words": None, "values": None, "spectrum": _spectrum(c), "hot": None}], schema=_ANSWER_ARROW)
-
-
-def lower_probability(c: np.ndarray, d: np.ndarray, total: int, unseen: float) -> np.ndarray:
-    """P(w), by the word's count."""
-    return np.where(c > 0, discounted(c, d) / max(total, 1), unseen)
+#: What alpha of a history is made of: its pairs seen 1 to K times, the sum of the other counts, and the P(w) of all its seen pairs.
+STATS = K + 2
 
 
 def _answer_pairs(model: dict, hot: int):
     def answer(rows: pa.Table) -> pa.Table:
-        """Of a bucket of pairs: its row of the pair table (block NULL), and log10 P for each block that asked.
+        """Of a bucket of pairs: its row of the pair table (block NULL), and for each block that asked the counts of its pairs.
 
-        A pair never seen after a hot history gets -log10 P(w) here; its sign tells that alpha is to be added.
+        A history with a pair never seen also gets what its alpha is made of.
         """
         bucket = rows.column("bucket")[0].as_py()
-        p = _merged_pairs(rows)
-        seen = p["c"] > 0
-        lower = lower_probability(p["c_word"], model["d1"], model["total"], model["unseen"])
-        direct = discounted(p["c"], model["d2"]) / np.maximum(p["c_history"], 1)
-        n = len(p["histories"])
-        mass = np.bincount(p["h"], weights=np.where(seen, direct, 0), minlength=n)
-        below = np.bincount(p["h"], weights=np.where(seen, lower, 0), minlength=n)
-        c_history = np.zeros(n, np.int64)
-        c_history[p["h"]] = p["c_history"]
-        alpha, scale = backoff(mass, below, c_history)
-        split = c_history >= hot
-        log = np.log10(np.where(seen, direct * scale[p["h"]], alpha[p["h"]] * lower))
-        log = np.where(split[p["h"]], np.where(seen, np.log10(np.maximum(direct, 1e-300)), np.maximum(-np.log10(lower), 1e-20)), log)
-        hots = [{"word": int(p["histories"][i].astype(np.int64)), "seen": float(mass[i]), "lower": float(below[i])} for i in np.flatnonzero(split).tolist()]
-        out = [{"block": None, "bucket": bucket, "words": pack(np.stack([p["history"][seen], p["word"][seen]], axis=1)), "values": pack(p["c"][seen].astype("<i8")), "spectrum": None, "hot": hots}]
-        for block, a, b in zip(rows.column("block").to_pylist(), p["at"], p["at"][1:], strict=False):
-            out.append({"block": block, "bucket": bucket, "words": None, "values": pack(log[p["place"][a:b]].astype("<f4")), "spectrum": None, "hot": None})
+        read = lambda name, kind, columns=1: [unpack(x, kind, columns) for x in rows.column(name).to_pylist()]
+        runs, asked = read("runs", "<i4"), read("words", "<i8", 2)
+        each = read("histories", "<i8", 2)
+        histories, first, h = np.unique(np.concatenate(each)[:, 0], return_index=True, return_inverse=True)
+        c_history = np.concatenate(each)[first, 1]
+        h = np.repeat(h, np.concatenate(runs))
+        words, first, w = np.unique(np.concatenate(asked)[:, 0], return_index=True, return_inverse=True)
+        c_word = np.concatenate(asked)[first, 1]
+        key, place = np.unique(h * np.int64(len(words)) + w, return_inverse=True)
+        c = np.bincount(place, weights=np.concatenate(read("n", "<i4")), minlength=len(key)).astype(np.int64)
+        owner, seen = key // len(words), c > 0
+        stats = np.zeros((len(histories), STATS))
+        np.add.at(stats, (owner[seen], np.minimum(c[seen], K + 1) - 1), np.where(c[seen] > K, c[seen], 1))
+        stats[:, K + 1] = np.bincount(owner[seen], weights=lower_probability(c_word[key % len(words)][seen], model["d1"], model["total"], model["unseen"]), minlength=len(histories))
+        heavy = _heavy(c_history)
+        hots = [{"word": int(histories[i]), "stats": stats[i].tolist()} for i in np.flatnonzero(c_history >= hot).tolist()]
+        kept = np.stack([histories[owner[seen]], words[(key % len(words))[seen]]], axis=1)
+        out = [{"block": None, "bucket": bucket, "words": pack(kept), "values": pack(c[seen]), "spectrum": _spectrum(c), "hot": hots}]
+        at, of = np.cumsum([0, *map(len, asked)]), np.cumsum([0, *map(len, each)])
+        for i, block in enumerate(rows.column("block").to_pylist()):
+            counts = c[place[at[i] : at[i + 1]]]
+            mine = h[at[i] : at[i + 1]]
+            open_ = np.unique(mine[(counts == 0) | (heavy[mine] & (counts > K))])
+            out.append({"block": block, "bucket": bucket, "words": pack(stats[open_]), "values": pack(counts), "spectrum": None, "hot": None})
         return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
 
     return answer
 
 
-def backoff(mass: np.ndarray, below: np.ndarray, c_history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lower_probability(c: np.ndarray, d: np.ndarray, total: int, unseen: float) -> np.ndarray:
+    """P(w), by the word's count."""
+    return np.where(c > 0, discounted(c, d) / max(total, 1), unseen)
+
+
+def backoff(stats: np.ndarray, c_history: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """alpha, and what the seen pairs' probabilities are scaled by: one, but for histories that leave nothing."""
+    mass = (stats[:, :K] * (np.arange(1, K + 1) * d[1 : K + 1])).sum(axis=1) + stats[:, K]
+    mass = mass / np.maximum(c_history, 1)
     full = (mass > 1 - 1e-12) & (c_history > 0)
     scale = np.where(full, c_history / (c_history + 1.0), 1.0)
-    return np.where(c_history > 0, (1 - mass * scale) / np.maximum(1 - below, 1e-12), 1.0), scale
+    return np.where(c_history > 0, (1 - mass * scale) / np.maximum(1 - stats[:, K + 1], 1e-12), 1.0), scale
 
 
 def _score(model: dict, word_buckets: int, buckets: int, hot: int, hot_of, schema: pa.Schema):
     def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        words, alphas, scales = hot_of.value
+        hot_words, hot_stats = hot_of.value
         for row in blocks.to_pylist():
             block = Block(row)
             kind = np.array(answers.column("order").to_pylist())
             of_words, of_pairs = answers.filter(pa.array(kind == 1)), answers.filter(pa.array(kind == 2))
-            counts = _counts(block, of_words, word_buckets)
-            block.pairs(counts, buckets, hot)
-            got = sorted(zip(of_pairs.column("bucket").to_pylist(), of_pairs.column("values").to_pylist(), strict=True))
-            log = np.concatenate([unpack(x, "<f4") for _, x in got]).astype(np.float64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, block.words[block.history]), len(words) - 1)
-                is_hot = words[at] == block.words[block.history]
-                open_ = is_hot & (log > 0)
-                log[open_] = np.log10(np.maximum(alphas[at[open_]], 1e-300)) - log[open_]
-                done = is_hot & ~open_
-                log[done] += np.log10(scales[at[done]])
+            counts, number = _counts(block, of_words, word_buckets)
+            block.pairs(counts, number, buckets, hot)
+            got = sorted(zip(*(of_pairs.column(x).to_pylist() for x in ("bucket", "values", "words")), strict=True))
+            c = np.concatenate([unpack(x, "<i8") for _, x, _ in got])
+            # Histories with an unseen pair, bucket by bucket, by their numbers: the order in which their parts of alpha came.
+            open_ = np.flatnonzero((c == 0) | (_heavy(counts)[block.history] & (c > K)))
+            order = np.lexsort((number[block.history[open_]], block.bucket[open_]))
+            named = np.stack([block.bucket[open_], block.history[open_]], axis=1)[order]
+            named = named[np.append(True, (np.diff(named, axis=0) != 0).any(axis=1))] if len(named) else named
+            parts = np.concatenate([unpack(x, "<f8", STATS) for _, _, x in got])
+            stats = np.zeros((len(block.words), STATS))
+            stats[named[:, 1]] = parts
+            if len(hot_words):
+                at = np.minimum(np.searchsorted(hot_words, number), len(hot_words) - 1)
+                is_hot = hot_words[at] == number
+                stats[is_hot] = hot_stats[at[is_hot]]
+            alpha, scale = backoff(stats, counts, model["d2"])
+            scaled = np.ones(len(block.words))
+            known = np.zeros(len(block.words), bool)
+            known[named[:, 1]] = True
+            scaled[known] = scale[known]
+            lower = lower_probability(counts[block.word], model["d1"], model["total"], model["unseen"])
+            log = np.log10(np.where(c > 0, discounted(c, model["d2"]) / np.maximum(counts[block.history], 1) * scaled[block.history], alpha[block.history] * lower))
             base = np.log10((counts + 0.1) / (model["total"] + 0.1 * (model["distinct"] + 1)))
             first = np.cumsum(block.size) - block.size
-            sums = [np.add.reduceat(x, first) if len(first) else np.empty(0) for x in (counts[block.tokens] > 0, base[block.tokens], log[block.pair])]
+            sums = [np.add.reduceat(x.astype(np.float64), first) for x in (counts[block.tokens] > 0, base[block.tokens], log[block.pair])]
             for i, doc_id in enumerate(block.doc_ids):
                 out.append((doc_id, bool(block.held_out[i]), int(block.size[i]), int(sums[0][i]), model["total"], float(sums[1][i]), float(sums[2][i])))
         return pa.Table.from_pydict({f.name: pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)}, schema=schema)
@@ -342,7 +364,7 @@ def scored(docs: DataFrame) -> DataFrame:
     blocks = spark.table(name)
     many = blocks.count()
     word_buckets = max(partitions, many // 4)
-    words = saved(blocks.mapInArrow(_ask_words(word_buckets), "bucket long, block long, words binary, n binary").groupBy("bucket").applyInArrow(_count_words, _ANSWER), "lm_words")
+    words = saved(blocks.mapInArrow(_ask_words(word_buckets), "bucket long, block long, words binary, n binary").groupBy("bucket").applyInArrow(_count_words(word_buckets), _ANSWER), "lm_words")
     distinct, total, *spectrum = _added(words)
     d1 = discounts(dict(enumerate(spectrum, 1)))
     # What the discounts leave to words never seen.
@@ -351,17 +373,16 @@ def scored(docs: DataFrame) -> DataFrame:
     hot = max(HOT_LEAST, total // HOT_SHARE)
     buckets = max(2 * partitions, total // BUCKET)
     of_words = words.where("block is not null").select("block", "bucket", "values")
-    asked = blocks.groupBy("block").cogroup(of_words.groupBy("block")).applyInArrow(_ask_pairs(word_buckets, buckets, hot), "bucket long, block long, histories binary, runs binary, c_history binary, words binary, c_word binary, n binary")
-    asked = saved(asked, "lm_asked")
-    _, _, *spectrum = _added(asked.groupBy("bucket").applyInArrow(_pair_spectrum, _ANSWER))
-    model["d2"] = discounts(dict(enumerate(spectrum, 1)))
+    asked = blocks.groupBy("block").cogroup(of_words.groupBy("block")).applyInArrow(_ask_pairs(word_buckets, buckets, hot), "bucket long, block long, histories binary, runs binary, words binary, n binary")
     pairs = saved(asked.groupBy("bucket").applyInArrow(_answer_pairs(model, hot), _ANSWER), "lm_pairs")
-    sums = pairs.where("hot is not null").select(F.explode("hot").alias("x")).groupBy("x.word").agg(F.sum("x.seen").alias("seen"), F.sum("x.lower").alias("lower")).toPandas()
-    hot_words = sums["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hot_words)
-    alpha, scale = backoff(sums["seen"].to_numpy(np.float64), sums["lower"].to_numpy(np.float64), np.full(len(sums), hot))
-    hot_of = spark.sparkContext.broadcast((hot_words[order], alpha[order], scale[order]))
-    answers = of_words.withColumn("order", F.lit(1)).unionByName(pairs.where("block is not null").select("block", "bucket", "values").withColumn("order", F.lit(2)))
+    _, _, *spectrum = _added(pairs)
+    model["d2"] = discounts(dict(enumerate(spectrum, 1)))
+    split = pairs.where("hot is not null").select(F.explode("hot").alias("x"))
+    sums = split.groupBy("x.word").agg(*(F.sum(F.col("x.stats")[i]).alias(f"s{i}") for i in range(STATS))).toPandas().sort_values("word")
+    hot_of = spark.sparkContext.broadcast((sums["word"].to_numpy(np.int64), sums[[f"s{i}" for i in range(STATS)]].to_numpy(np.float64)))
+    answers = of_words.select("block", "bucket", "values", F.lit(None).cast("binary").alias("words"), F.lit(1).alias("order")).unionByName(
+        pairs.where("block is not null").select("block", "bucket", "values", "words", F.lit(2).alias("order"))
+    )
     result = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -8,8 +8,10 @@ rank the shingles of a group of copies as common, and so make a copy less like i
 Each sample of a text keeps a shingle with a probability in proportion to its weight, so two texts agree on a sample with the
 probability of their weighted Jaccard similarity. ``ROWS`` samples make a band; texts that share a band are candidates.
 
-Equal texts are one class from the start. The members of a band are compared with its least one; what is then still in different
-components within a band is compared pair by pair, so every candidate pair is either verified or already connected, and nothing is capped.
+Equal texts are one class from the start. The members of a band are compared with its central one, that which shares most bands with
+others. Where a band's members are then still in different components, all of them are compared within tasks, in blocks of ``CHUNK`` texts by
+products of sparse rows, and each gives one link at most. So every candidate pair is verified or connected, no list of pairs is made, and
+nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Words, components, grams, mixed, saved, seeded, table, text_hash
+from tallyfold.llm.common import Words, components, grams, least_linked, mixed, saved, seeded, table, text_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -29,6 +31,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 FEATURES = 1 << 17
 _DRAWS = 1 << 16
+CHUNK = 512
+ROUNDING = 1e-9
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -56,16 +60,22 @@ def inverse_frequencies(df: np.ndarray, rows: int) -> np.ndarray:
     return (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
 
 
-def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, sorted, and their weights. A text of one to four words is one shingle."""
+def counted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of a text, sorted, their inverse frequencies and counts. A text of one to four words is one shingle."""
     n = min(SHINGLE, len(hashes))
     if not n:
-        return np.empty(0, np.uint64), np.empty(0)
+        return np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
     each = idf[(hashes % np.uint64(len(idf))).astype(np.int64)].astype(np.float64)
     sums = np.concatenate([[0.0], np.cumsum(each)])
     names, place, count = np.unique(grams(hashes, n), return_index=True, return_counts=True)
     # The mean depends on the shingle alone, not on where it stands: sums are rounded.
-    return names, np.round((sums[place + n] - sums[place]) / n, 3) * count
+    return names, np.round((sums[place + n] - sums[place]) / n, 3), count
+
+
+def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text, sorted, and their weights."""
+    names, each, count = counted(hashes, idf)
+    return names, each * count
 
 
 class Sampler:
@@ -148,13 +158,72 @@ def _verified(idf_of, least: float):
                     if name not in known:
                         known[name] = weighted(hashed[side][first[i] : first[i + 1]], idf)
                     both.append(known[name])
-                kept[i] = similarity(*both) >= least
+                kept[i] = similarity(*both) >= least - ROUNDING
             keep = pa.array(kept)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return verify
 
 
+def all_similar(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """Which texts (as ``counted``) are similar, as a matrix.
+
+    Counts are laid out as levels (a shingle that comes twice has two), so the sum of lesser weights is a product of zero-one rows.
+    """
+    owner = np.repeat(np.arange(len(texts)), [int(c.sum()) for _, _, c in texts])
+    names, weight = [], []
+    for name, each, count in texts:
+        level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        names.append(np.repeat(name, count) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        weight.append(np.repeat(each, count))
+    feature, inverse, n = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+    weight = np.concatenate(weight)
+    total = np.bincount(owner, weights=weight, minlength=len(texts))
+    place, use = np.cumsum(n > 1) - 1, n[inverse] > 1
+    owner, column, weight = owner[use], place[inverse[use]], weight[use]
+    order = np.argsort(column, kind="stable")
+    owner, column, weight = owner[order], column[order], weight[order]
+    shared, width = np.zeros((len(texts), len(texts))), int((n > 1).sum())
+    for a in range(0, width, 2048):
+        i, j = np.searchsorted(column, [a, a + 2048])
+        has = np.zeros((len(texts), min(2048, width - a)))
+        has[owner[i:j], column[i:j] - a] = np.sqrt(weight[i:j])
+        shared += has @ has.T
+    both = total[:, None] + total[None, :] - shared
+    return shared >= (least - ROUNDING) * both
+
+
+def _blocks(idf_of, least: float):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by unit (bucket, g, h), which may go on in the next batch: a link (a, b) for each text that has one."""
+        idf, key, kept = idf_of.value, None, []
+
+        def done() -> pa.RecordBatch:
+            names, roots, chunks = [r[0] for r in kept], np.array([r[1] for r in kept]), np.array([r[2] for r in kept])
+            linked = all_similar([r[3] for r in kept], least)
+            open_ = roots[:, None] != roots[None, :]
+            if key[1] != key[2]:
+                open_ &= chunks[:, None] != chunks[None, :]
+            root = least_linked(linked & open_)
+            at = np.flatnonzero(root != np.arange(len(root))).tolist()
+            return pa.RecordBatch.from_arrays([pa.array([names[root[i]] for i in at], pa.string()), pa.array([names[i] for i in at], pa.string())], ["a", "b"])
+
+        for batch in batches:
+            words = Words(batch.column("text"))
+            hashes, first = words.hashes(), words.first
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "g", "h", "name", "root", "chunk")]
+            for i, (bucket, g, h, name, root, chunk) in enumerate(zip(*columns, strict=True)):
+                if (bucket, g, h) != key:
+                    if len(kept) > 1:
+                        yield done()
+                    key, kept = (bucket, g, h), []
+                kept.append((name, root, chunk, counted(hashes[first[i] : first[i + 1]], idf)))
+        if len(kept) > 1:
+            yield done()
+
+    return compare
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(text_hash, root): the texts with at least one word, and the least text of the component each is in.
 
@@ -167,32 +236,34 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     signed = texts.mapInArrow(_banded(idf_of), "name string, bands array<long>").groupBy("name").agg(F.first("bands").alias("bands"))
     signed = saved(signed.where(F.size("bands") > 0), "signed")
     members = signed.select("name", F.posexplode("bands").alias("band", "key"))
-    leaders = members.groupBy("band", "key").agg(F.min("name").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = saved(members.join(saved(leaders, "leaders"), ["band", "key"]).select("band", "key", "name", "lead"), "shared")
-    involved = saved(shared.select("name").distinct(), "involved")
+    sizes = saved(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = saved(members.join(sizes, ["band", "key"]).select("band", "key", "name", "n"), "shared")
+    involved = saved(shared.groupBy("name").agg(F.sum("n").alias("shares")), "involved")
     # One row a text; copies are merged before and after the shuffle.
-    bodies = saved(texts.join(involved, "name", "left_semi").groupBy("name").agg(F.first("text").alias("text")), "bodies")
+    bodies = saved(texts.join(involved.select("name"), "name", "left_semi").groupBy("name").agg(F.first("text").alias("text")), "bodies")
+    central = shared.join(involved, "name").groupBy("band", "key").agg(F.max(F.struct("shares", "name")).alias("top")).select("band", "key", F.col("top.name").alias("lead"))
+    pairs = saved(shared.join(saved(central, "central"), ["band", "key"]).where("name <> lead").select(F.col("lead").alias("a"), F.col("name").alias("b")).distinct(), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         left = pairs.join(bodies.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
         full = left.join(bodies.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
         return full.select("a", "text_a", "b", "text_b").mapInArrow(_verified(idf_of, least), "a string, b string")
 
-    links = saved(linked(saved(shared.where("name > lead").select(F.col("lead").alias("a"), F.col("name").alias("b")).distinct(), "pairs")), "links")
+    links = saved(linked(pairs), "links")
     roots = saved(components(links), "roots")
-    placed = saved(shared.join(roots.withColumnRenamed("node", "name"), "name", "left").select("band", "key", "name", F.coalesce("root", "name").alias("root")), "placed")
-    # What leaders leave open: pairs of different components within a band. All but the largest component meet all.
-    sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("band", "key", F.col("top.root").alias("top"))
-    open_ = saved(placed.join(saved(largest, "largest"), ["band", "key"]), "open")
-    few = open_.where("root <> top").select("band", "key", F.col("name").alias("x"), F.col("root").alias("root_x"))
-    meet = few.join(open_, ["band", "key"]).where("root_x <> root and (root = top or x < name)")
-    rest = meet.select(F.least("x", "name").alias("a"), F.greatest("x", "name").alias("b")).distinct()
-    more = saved(linked(saved(rest.join(shared.select(F.col("lead").alias("a"), F.col("name").alias("b")).distinct(), ["a", "b"], "left_anti"), "rest")), "more")
-    if more.isEmpty():
-        final = roots
-    else:
-        final = saved(components(links.unionAll(more)), "roots")
+    placed = saved(shared.join(roots.withColumnRenamed("node", "name"), "name", "left").select("band", "key", "name", "n", F.coalesce("root", "name").alias("root")), "placed")
+    # Bands of two have had their one comparison. Bands of the same members are looked at once.
+    same = placed.where("n > 2").groupBy("band", "key").agg(F.first("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).alias("members"))
+    same = same.where("low < high").groupBy("n", "members").agg(F.min(F.struct("band", "key")).alias("one")).select("one.band", "one.key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    open_ = saved(placed.join(saved(same, "same"), ["band", "key"]), "open")
+    final = roots
+    if not open_.isEmpty():
+        cut = open_.withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        units = cut.select(F.concat_ws(":", "band", "key").alias("bucket"), F.least("chunk", "other").alias("g"), F.greatest("chunk", "other").alias("h"), "chunk", "name", "root")
+        units = units.join(bodies, "name").repartition("bucket", "g", "h").sortWithinPartitions("bucket", "g", "h")
+        more = saved(units.mapInArrow(_blocks(idf_of, least), "a string, b string"), "more")
+        if not more.isEmpty():
+            final = saved(components(links.unionAll(more)), "roots")
     return signed.select("name").join(final.withColumnRenamed("node", "name"), "name", "left").select(F.col("name").alias("text_hash"), F.coalesce("root", "name").alias("root"))
 
 
