@@ -175,14 +175,14 @@ def memory_code(lang: Column, codes: dict[str, str] = MEMORY_CODES) -> Column:
 def gap_fill(entries: DataFrame, plan: DataFrame, memory: DataFrame, codes: dict[str, str] = MEMORY_CODES) -> DataFrame:
     """Bundles after the plan: ``(file, lang, key, value, origin)``.
 
-    Values to add come from ``memory`` (lang, source_text, target_text), unique by language and text.
+    Values to add come from ``memory`` (lang, source_text, target_text); of several for one text the greatest is taken.
     Origin is kept, filled, or pending where the memory has no translation yet (value NULL). Keys to
     remove are gone; languages outside the plan stay as they are.
     """
     place = ["file", "lang", "key"]
     kept = entries.select(*place, "value").join(plan.select(*place), place, "left_anti")
     wanted = plan.where(F.col("action") == "add").withColumn("code", memory_code(F.col("lang"), codes))
-    known = memory.select(F.col("lang").alias("code"), F.col("source_text").alias("source_value"), "target_text")
+    known = memory.groupBy(F.col("lang").alias("code"), F.col("source_text").alias("source_value")).agg(F.max("target_text").alias("target_text"))
     added = wanted.join(known, ["code", "source_value"], "left").select(
         *place,
         F.col("target_text").alias("value"),
@@ -215,11 +215,12 @@ def _json_string(text: Column) -> Column:
 def bundle_lines(entries: DataFrame) -> DataFrame:
     """The JSON text of each bundle, one line per row: ``(file, lang, part, key, text)``.
 
-    Languages and keys are sorted and indented by two blanks each. Sorting by ``file, lang, part, key``
+    Languages and keys are sorted and indented by two blanks each. Entries without a value (pending ones) are left out. Sorting by ``file, lang, part, key``
     puts the lines in order (parts -1 and 0 open, 1 holds entries, 2 and 3 close). The last entry of a group drops
     its comma, so only the greatest key of each group is looked up, and no bundle is ever gathered in
     one row.
     """
+    entries = entries.where("value IS NOT NULL")
     last_key = entries.groupBy("file", "lang").agg(F.max("key").alias("last_key"))
     last_lang = last_key.groupBy("file").agg(F.max("lang").alias("last_lang"))
     comma = lambda last: F.when(last, "").otherwise(",")

@@ -164,19 +164,19 @@ def keys_used_below(corpus: DataFrame) -> DataFrame:
 
 
 def unused_keys(scanned: DataFrame, bundles: DataFrame, keys: DataFrame, used_below: DataFrame) -> DataFrame:
-    """``(dir, key, components, first_component)``: defined keys that nothing at or below the folder uses.
+    """``(dir, key, components)``: defined keys and how many components of the folder they are unused by.
 
-    Only for readable bundles whose folder holds a component that uses translations. Each such component
-    is answerable for every unused key of its folder; as that is all pairs of the two, they are counted
-    here and spelled out by :func:`unused_key_issues`.
+    A component uses a key if it does so itself, or if a ``.tsx`` file at or below the folder does. Only for readable
+    bundles whose folder holds a component that uses translations. Each such component is answerable for every key of its
+    folder it does not use; as that may be all pairs of the two, they are counted here and spelled out by
+    :func:`unused_key_issues`.
     """
-    by_dir = (
-        _owners(scanned, bundles)
-        .groupBy("dir")
-        .agg(F.count(F.lit(1)).alias("components"), F.min("path").alias("first_component"))
-    )
-    free = keys.join(used_below, ["dir", "key"], "left_anti")
-    return free.join(by_dir, "dir").select("dir", "key", "components", "first_component")
+    owners = _owners(scanned, bundles)
+    by_dir = owners.groupBy("dir").agg(F.count(F.lit(1)).alias("owners"))
+    users = owners.select("dir", F.explode(F.array_distinct("keys")).alias("key")).groupBy("dir", "key").agg(F.count(F.lit(1)).alias("users"))
+    free = keys.join(used_below, ["dir", "key"], "left_anti").join(by_dir, "dir").join(users, ["dir", "key"], "left")
+    left = F.col("owners") - F.coalesce("users", F.lit(0))
+    return free.select("dir", "key", left.alias("components")).where("components > 0")
 
 
 def _owners(scanned: DataFrame, bundles: DataFrame) -> DataFrame:

@@ -94,8 +94,12 @@ def constraint_report(
     primary_keys: dict[str, tuple[str, ...]],
     references: Sequence[Reference],
     unique: Sequence[tuple[str, str]] = (),
+    not_null: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
-    """One row per declared constraint with the number of rows (of values for UNIQUE) that break it."""
+    """One row per declared constraint with the number of rows (of values for UNIQUE) that break it.
+
+    NOT NULL holds for the columns that ``not_null`` declares and for key columns; all others may hold NULL.
+    """
     parts = []
     for table, columns in primary_keys.items():
         parts.append(_check("PRIMARY KEY", table, columns, key_violations(tables[table], columns), F.sum("n")))
@@ -103,7 +107,11 @@ def constraint_report(
         lost = orphans(tables[ref.table], ref.columns, tables[ref.ref_table], ref.ref_columns)
         parts.append(_check("FOREIGN KEY", ref.table, ref.columns, lost, F.sum("n"), ref.ref_table))
     for table, df in tables.items():
-        nulls = null_counts(table, df)
+        declared = {*(not_null or {}).get(table, ()), *primary_keys.get(table, ())}
+        columns = [c for c in df.columns if c in declared]
+        if not columns:
+            continue
+        nulls = null_counts(table, df.select(*columns))
         parts.append(
             nulls.select(
                 F.lit("NOT NULL").alias("check"),

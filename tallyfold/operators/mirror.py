@@ -29,13 +29,13 @@ def mirror_diff(
 
 
 def _compared(remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None, existing: DataFrame | None) -> DataFrame:
-    source = chosen_buckets(remote, buckets).select("bucket", "key", F.coalesce("size", F.lit(0)).alias("remote_size"))
+    source = chosen_buckets(remote, buckets).select("bucket", "key", F.coalesce("size", F.lit(0)).alias("remote_size"), F.lit(True).alias("is_remote"))
     visited = (remote if existing is None else existing).select("bucket").distinct()
     copies = chosen_buckets(local, buckets).select("bucket", "key", F.col("size").alias("local_size"))
     copies = copies.join(visited, "bucket", "left_semi")
     action = (
-        F.when(F.col("remote_size").eqNullSafe(F.col("local_size")), "keep")
-        .when(F.col("remote_size").isNotNull(), "download")
+        F.when(F.col("is_remote") & F.col("remote_size").eqNullSafe(F.col("local_size")), "keep")
+        .when(F.col("is_remote"), "download")
         .when(is_system_file(F.col("key")), "system")
         .otherwise("delete")
     )

@@ -22,7 +22,6 @@ from tallyfold.operators.bundles import (
     without_keys,
 )
 from tallyfold.plans.tables import table
-from tallyfold.session import spread
 from tallyfold.sources.bundles import bundle_entries, bundle_languages, parse_bundles
 
 STATUSES = ("F", "O", "P")
@@ -102,7 +101,7 @@ def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("source") < "src14", F.when(F.col("source") == "src0", "{}").when(F.col("source") == "src1", "null").otherwise("[1]"))
         .otherwise(F.format_string('{"es": %s}', lines()))
     )
-    return spread(table(spark, sf_dir, "documents")).select(F.concat_ws("/", "source", "doc_id", F.lit("translations.json")).alias("file"), content.alias("content"))
+    return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id", F.lit("translations.json")).alias("file"), content.alias("content"))
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,15 +116,13 @@ def bundle_file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_issues(spark, sf_dir).select("type", "file", "language", "key")
 
 
-_ORDERS = """o AS (SELECT 'b' || o_custkey AS file, o_orderstatus AS lang, o_orderpriority AS key, max(o_orderkey) AS last_order,
+_ORDERS = """o AS MATERIALIZED (SELECT 'b' || o_custkey AS file, o_orderstatus AS lang, o_orderpriority AS key, max(o_orderkey) AS last_order,
     'é "' || max(o_orderkey) || '"' AS value FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority)"""
-_GAPS = f"""{_ORDERS}, src AS (SELECT file, key, value FROM o WHERE lang = 'F'), t AS (SELECT * FROM (VALUES ('O'), ('P')) AS v(lang)),
-  plan AS (SELECT file, lang, key, 'add' AS action, value AS source_value FROM src, t ANTI JOIN o USING (file, lang, key)
+_GAPS = f"""{_ORDERS}, src AS MATERIALIZED (SELECT file, key, value FROM o WHERE lang = 'F'), t AS (SELECT * FROM (VALUES ('O'), ('P')) AS v(lang)),
+  wanted AS MATERIALIZED (SELECT file, lang, key, value FROM src, t),
+  plan AS MATERIALIZED (SELECT w.file, w.lang, w.key, 'add' AS action, w.value AS source_value FROM wanted AS w ANTI JOIN o ON o.file = w.file AND o.lang = w.lang AND o.key = w.key
     UNION ALL SELECT file, lang, key, 'remove', NULL FROM o WHERE lang <> 'F' AND file IN (SELECT file FROM src)
-      AND NOT EXISTS (SELECT 1 FROM src WHERE src.file = o.file AND src.key = o.key))""".replace(
-    "FROM src, t ANTI JOIN o USING (file, lang, key)",
-    "FROM src, t WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file = src.file AND o.lang = t.lang AND o.key = src.key)",
-)
+      AND NOT EXISTS (SELECT 1 FROM src WHERE src.file = o.file AND src.key = o.key))"""
 
 _DOCS = """d AS (SELECT source || '/' || doc_id || '/translations.json' AS file, * FROM documents),
   l AS (SELECT file, lang AS doc_lang, source, 'l' || (i - 1) AS key, parts[i] AS value FROM (SELECT *, string_split(text, chr(10)) AS parts FROM d),
@@ -194,8 +191,8 @@ ORACLE = {
     "gap_summary": f"""WITH {_GAPS}, f AS (SELECT count(DISTINCT file) AS m, count(DISTINCT (file, lang)) AS n FROM plan)
         SELECT 'success' AS status, 'Updated ' || n || ' languages across ' || m || ' files' AS message, m AS folders_processed, n AS files_generated FROM f""",
     "gap_fill": f"""WITH {_GAPS}, r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
-        SELECT file, lang, key, value, 'kept' AS origin FROM o WHERE NOT EXISTS
-          (SELECT 1 FROM plan WHERE plan.file = o.file AND plan.lang = o.lang AND plan.key = o.key)
+        SELECT file, lang, key, value, 'kept' AS origin FROM o
+          ANTI JOIN plan ON plan.file = o.file AND plan.lang = o.lang AND plan.key = o.key
         UNION ALL SELECT plan.file, plan.lang, plan.key, CASE WHEN l_orderkey IS NOT NULL THEN replace(plan.lang, 'O', 'O-CN') || ':' || source_value END,
           CASE WHEN l_orderkey IS NOT NULL THEN 'filled' ELSE 'pending' END
           FROM plan JOIN o ON o.file = plan.file AND o.lang = 'F' AND o.key = plan.key LEFT JOIN r ON l_orderkey = last_order WHERE action = 'add'""",

@@ -16,7 +16,7 @@ from tallyfold.operators.reconcile import issues
 from tallyfold.operators.summary import issue_counts, run_summary, translation_summary
 from tallyfold.plans import bundle_sets, schema_catalog
 from tallyfold.plans.tables import table
-from tallyfold.session import spread, written
+from tallyfold.session import written
 from tallyfold.sources.corpus import corpus_from_table
 
 PAGE_ATTRIBUTES = ("content", "class", "lang", "charset", "href")
@@ -24,7 +24,7 @@ PAGE_ATTRIBUTES = ("content", "class", "lang", "charset", "href")
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = r"^https?://([^/]+)/([a-z]+)/"
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         "page_id",
         "url",
         "html",
@@ -90,7 +90,7 @@ def used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hardcoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard-coded text of the pages themselves, and its place."""
     found = text.hardcoded_text(F.col("html"), PAGE_ATTRIBUTES)
-    return spread(table(spark, sf_dir, "pages")).select("page_id", F.inline(found))
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(found))
 
 
 def component_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +218,10 @@ _MISSING_SQL = """SELECT 'component_missing_key' AS type, path AS place, key, NU
     SELECT u.path, u.key, CASE WHEN o.valid THEN o.dir WHEN s.valid THEN s.dir END AS bundle FROM used u JOIN using_ c ON c.path = u.path
     LEFT JOIN b o ON o.dir = u.dir LEFT JOIN b s ON s.dir = c.calls[1]) AS r
   WHERE bundle IS NOT NULL AND NOT EXISTS (SELECT 1 FROM keys k WHERE k.dir = r.bundle AND k.key = r.key)"""
-_UNUSED_SQL = """SELECT 'component_unused_key', dir, key, n FROM keys JOIN b USING (dir)
-    JOIN (SELECT dir, count(*) AS n FROM using_ GROUP BY dir) AS owners USING (dir)
-  WHERE valid AND NOT EXISTS (SELECT 1 FROM used u WHERE u.path LIKE '%.tsx' AND u.key = keys.key AND (u.dir = keys.dir OR u.host = keys.dir))"""
+_UNUSED_SQL = """SELECT 'component_unused_key', keys.dir, keys.key, count(*) FILTER (WHERE NOT list_contains(owner.links, keys.key))
+  FROM keys JOIN b ON b.dir = keys.dir JOIN using_ AS owner ON owner.dir = keys.dir
+  WHERE valid AND NOT EXISTS (SELECT 1 FROM used u WHERE u.path LIKE '%.tsx' AND u.key = keys.key AND (u.dir = keys.dir OR u.host = keys.dir))
+  GROUP BY keys.dir, keys.key HAVING count(*) FILTER (WHERE NOT list_contains(owner.links, keys.key)) > 0"""
 _ORPHANS_SQL = """SELECT dir, n_keys, min(c.path) AS component FROM b LEFT JOIN (SELECT * FROM c WHERE form <> 'test' AND path LIKE '%.tsx') AS c USING (dir)
   WHERE valid AND n_keys > 0 AND dir NOT IN (SELECT dir FROM using_ UNION SELECT unnest(calls) FROM using_) GROUP BY dir, n_keys"""
 _GLOBAL_SQL = """WITH expected AS (SELECT c_name AS key FROM customer UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier),

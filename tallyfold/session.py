@@ -42,15 +42,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer input splits than there are cores.
-
-    For costly work on texts. A table of many files has splits enough and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def written(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared folder and return it as a fresh scan, with its row count.
 

@@ -16,7 +16,7 @@ def corpus_from_table(df: DataFrame, path: Column, content: Column) -> DataFrame
     )
 
 
-def read_corpus(spark: SparkSession, paths: list[str], root: str = "", skip_unreadable: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, paths: list[str], root: str = "", skip_unreadable: bool = False) -> DataFrame:
     """One CORPUS row per file, paths relative to ``root``; unreadable files are skipped if asked."""
     reader = spark.read.format("text").options(
         wholetext=True,

@@ -74,12 +74,12 @@ def test_constraints(spark, rows):
         {"parent": ("id",), "child": ("id",)},
         [Reference("child", ("parent_id",), "parent", ("id",))],
         [("parent", "code")],
+        {"child": ("parent_id",)},
     )
     broken = rows(report.where("broken > 0"), "check", "table", "columns", "broken")
     assert broken == [
         ("FOREIGN KEY", "child", "parent_id", 2),
         ("NOT NULL", "child", "parent_id", 1),
-        ("NOT NULL", "parent", "code", 1),
         ("NOT NULL", "parent", "id", 1),
         ("PRIMARY KEY", "parent", "id", 3),
         ("UNIQUE", "parent", "code", 1),
