@@ -190,7 +190,9 @@ def all_similar(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: f
         has[owner[i:j], column[i:j] - a] = np.sqrt(weight[i:j])
         shared += has @ has.T
     both = total[:, None] + total[None, :] - shared
-    return shared >= (least - ROUNDING) * both
+    similar = shared >= (least - ROUNDING) * both
+    np.fill_diagonal(similar, True)  # a text's own shingles are left out above
+    return similar
 
 
 def _blocks(idf_of, least: float):
