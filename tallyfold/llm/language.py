@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tallyfold.llm.common import saved, table, text_hash
 
@@ -128,7 +128,7 @@ def identified(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LA
     n, every = len(languages), range(len(languages) + 1)
     names = [*languages, "und"]
     clean = rows.withColumn("declared", F.coalesce(F.lower("declared"), F.lit(""))).withColumn("host", F.coalesce(F.lower("host"), F.lit("")))
-    schema = clean.drop("text").schema.add("text_score", ArrayType(DoubleType()))
+    schema = StructType([*clean.drop("text").schema.fields, StructField("text_score", ArrayType(DoubleType()))])
     scored = clean.mapInArrow(_likelihoods(rows.sparkSession.sparkContext.broadcast(model)), schema)
     labels = F.split("host", r"\.")
     scored = scored.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, -2), "suffix")).otherwise(F.col("host")))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyfold.llm.common import Words, grams, mixed, saved, table, text_hash
 
@@ -262,7 +263,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = places.groupBy("name", "first").agg(F.first("bits").alias("bits")).groupBy("name").agg(F.collect_list("first").alias("firsts"), F.collect_list("bits").alias("bits"))
     spans = saved(spans, "spans").withColumnRenamed("name", "_name")
     marked = docs.join(spans, F.unhex(text_hash()) == F.col("_name"), "left").drop("_name")
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept", "string").add("kept_sha256", "string")
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()), StructField("kept_sha256", StringType())]
+    schema = StructType([*docs.schema.fields, *added])
     return marked.mapInArrow(_cut(window), schema)
 
 

@@ -55,6 +55,7 @@ def test_substrings(docs):
     assert by_id[6][1:] == (2, 0, "short text")
     assert by_id[7][3] == "x1 y1" and by_id[8][3] == "x2 x3\u00a0z"
     assert by_id[10][1:] == (500, 500, "")
+    assert corpus_pipeline.substring_dedup(None, docs, "").columns == docs.columns
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 
