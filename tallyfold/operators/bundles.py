@@ -92,14 +92,14 @@ def bundle_issues(parsed: DataFrame, languages: Sequence[str] = LANGUAGES) -> Da
 
     known = F.map_keys(reference["members"])
     found = [
-        of_file(F.col("kind").isNull(), "json_parse_error", F.format_string("Failed to parse bundle %s", file)),
-        of_file(F.col("kind") != "OBJECT", "invalid_format", F.lit("Bundle is not a valid JSON object")),
-        F.when(F.size("members") > 0, of_language(lambda x: x["kind"] == "VOID", "missing_language", "Missing language '%s'")).otherwise(none),
-        of_language(lambda x: ~x["kind"].isin("OBJECT", "VOID"), "invalid_format", "Language '%s' is not a valid JSON object"),
-        of_keys(lambda m: F.filter(F.map_keys(m), lambda key: key == ""), "invalid_key", "Invalid key in '%s': keys must be non-empty strings"),
-        of_keys(bad_values, "invalid_value", "Invalid value in '%s' for key '%s': values must be non-empty strings"),
-        of_keys(lambda m: F.array_except(known, F.map_keys(m)), "missing_key", "Missing key in '%s': '%s' (present in '%s')"),
-        of_keys(lambda m: F.array_except(F.map_keys(m), known), "extra_key", "Extra key in '%s': '%s' (not present in '%s')"),
+        of_file(F.col("kind").isNull(), "json_parse_error", F.format_string("%s cannot be read as JSON", file)),
+        of_file(F.col("kind") != "OBJECT", "invalid_format", F.lit("The top level must be an object")),
+        F.when(F.size("members") > 0, of_language(lambda x: x["kind"] == "VOID", "missing_language", "No entries for language '%s'")).otherwise(none),
+        of_language(lambda x: ~x["kind"].isin("OBJECT", "VOID"), "invalid_format", "The entry for language '%s' must be an object"),
+        of_keys(lambda m: F.filter(F.map_keys(m), lambda key: key == ""), "invalid_key", "An empty key stands in '%s'"),
+        of_keys(bad_values, "invalid_value", "'%s' has no text for key '%s'"),
+        of_keys(lambda m: F.array_except(known, F.map_keys(m)), "missing_key", "'%s' lacks key '%s', which '%s' defines"),
+        of_keys(lambda m: F.array_except(F.map_keys(m), known), "extra_key", "'%s' defines key '%s', which '%s' lacks"),
     ]
     return read.select(F.inline(F.concat(*found)))
 

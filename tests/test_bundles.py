@@ -54,9 +54,9 @@ def test_issue_fields(spark, rows):
     found = bundle_issues(parse_bundles(spark.createDataFrame([("f", content)], "file string, content string")))
     got = rows(found.where("language = 'es'"), "type", "key", "message")
     assert got == [
-        ("extra_key", "extra", "Extra key in 'es': 'extra' (not present in 'en')"),
-        ("missing_key", "goodbye", "Missing key in 'es': 'goodbye' (present in 'en')"),
-        ("missing_key", "hello", "Missing key in 'es': 'hello' (present in 'en')"),
+        ("extra_key", "extra", "'es' defines key 'extra', which 'en' lacks"),
+        ("missing_key", "goodbye", "'es' lacks key 'goodbye', which 'en' defines"),
+        ("missing_key", "hello", "'es' lacks key 'hello', which 'en' defines"),
     ]
 
 
