@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 
+#: Bytes of text that array code takes at a time.
+PART = 1 << 21
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,6 +35,21 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, cut so that the texts of ``column`` in a part hold ``most`` bytes or are one text.
+
+    What is computed for each byte then takes bounded memory, however long the texts of a batch are.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, begin = np.cumsum(size, dtype=np.int64), 0
+        while begin < len(batch):
+            before = total[begin] - size[begin]
+            end = max(begin + 1, int(np.searchsorted(total, before + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the one of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

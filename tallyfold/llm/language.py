@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tallyfold.llm.common import saved, table, text_hash
+from tallyfold.llm.common import parts, saved, table, text_hash
 
 LANGUAGES = ("de", "en", "es", "fr")
 FEATURES = 1 << 15
@@ -69,7 +69,7 @@ def trained(labelled: DataFrame, languages: Sequence[str] = LANGUAGES) -> np.nda
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * FEATURES, np.int64)
         place = {x: i for i, x in enumerate(languages)}
-        for batch in batches:
+        for batch in parts(batches, "text"):
             feature, size = trigrams(batch.column(0))
             lang = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
             total += np.bincount(np.repeat(lang, size) * FEATURES + feature, minlength=len(total))
@@ -87,7 +87,7 @@ def _likelihoods(table_of):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The columns but ``text``, with ``text_score``: log likelihood of each language and of none; NULL without trigrams."""
         model = table_of.value
-        for batch in batches:
+        for batch in parts(batches, "text"):
             feature, size = trigrams(batch.column("text"))
             first = np.concatenate([[0], np.cumsum(size)])
             some = size > 0
@@ -104,17 +104,25 @@ def _likelihoods(table_of):
     return score
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    parts = [F.exp(x - top) for x in logs]
-    total = reduce(lambda a, b: a + b, parts)
-    return [x / total for x in parts]
+def _with_shares(df: DataFrame, logs: list[Column], name: str) -> DataFrame:
+    """``df`` with the softmax of ``logs`` as columns ``name0``, ``name1``, ...
+
+    Step by step, each on columns of the step before: written as one expression it would repeat all of its inputs at every use.
+    """
+    every = range(len(logs))
+    df = df.select("*", *(x.alias(f"_log{i}") for i, x in enumerate(logs)))
+    df = df.withColumn("_top", F.greatest(*(F.col(f"_log{i}") for i in every)))
+    df = df.select("*", *(F.exp(F.col(f"_log{i}") - F.col("_top")).alias(f"_part{i}") for i in every))
+    df = df.withColumn("_total", reduce(lambda a, b: a + b, [F.col(f"_part{i}") for i in every]))
+    df = df.select("*", *((F.col(f"_part{i}") / F.col("_total")).alias(f"{name}{i}") for i in every))
+    return df.drop("_top", "_total", *(f"_log{i}" for i in every), *(f"_part{i}" for i in every))
 
 
-def _best(languages: Sequence[str], shares: list[Column]) -> tuple[Column, Column]:
-    """The language of the greatest share, the first of equal ones, and that share."""
-    top = F.greatest(*shares)
-    return F.coalesce(*(F.when(s >= top, F.lit(x)) for x, s in zip(languages, shares, strict=True))), top
+def _with_best(df: DataFrame, languages: Sequence[str], shares: str, name: str, top: str) -> DataFrame:
+    """``df`` with the language of the greatest share (the first of equal ones) as ``name`` and that share as ``top``."""
+    each = [F.col(f"{shares}{i}") for i in range(len(languages))]
+    df = df.withColumn(top, F.greatest(*each))
+    return df.withColumn(name, F.coalesce(*(F.when(s >= F.col(top), F.lit(x)) for x, s in zip(languages, each, strict=True))))
 
 
 def identified(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LANGUAGES) -> DataFrame:
@@ -133,8 +141,10 @@ def identified(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LA
     labels = F.split("host", r"\.")
     scored = scored.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, -2), "suffix")).otherwise(F.col("host")))
     text = [F.col("text_score")[i] for i in every]
-    shares = _softmax([*(text[i] + float(np.log((1 - NONE_SHARE) / n)) for i in range(n)), text[n] + float(np.log(NONE_SHARE))])
-    scored = saved(scored.select("*", *(F.coalesce(s, F.lit(0.0)).alias(f"p{i}") for i, s in enumerate(shares))), "text_scores")
+    logs = [*(text[i] + float(np.log((1 - NONE_SHARE) / n)) for i in range(n)), text[n] + float(np.log(NONE_SHARE))]
+    scored = _with_shares(scored, logs, "_share")
+    shares = [f"_share{i}" for i in every]
+    scored = saved(scored.select("*", *(F.coalesce(s, F.lit(0.0)).alias(f"p{i}") for i, s in enumerate(shares))).drop(*shares), "text_scores")
 
     def sums(df: DataFrame, *by: str) -> DataFrame:
         return df.groupBy(*by).agg(*(F.sum(f"p{i}").alias(f"p{i}") for i in every))
@@ -160,11 +170,11 @@ def identified(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LA
     of_declared = said.select(F.col("declared").alias("_declared"), *(F.log((F.col(f"p{i}") + 0.5) / (whole[i] + 0.5 * (kinds + 1))).alias(f"d{i}") for i in every))
     joined = scored.join(saved(of_host, "host_mix"), F.col("host") == F.col("_host")).join(saved(of_declared, "declared_mix"), F.col("declared") == F.col("_declared"))
     prior = [F.log((F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0)) + LEAN * F.col(f"q{i}") + 1e-9)) for i in every]
-    fused = _softmax([text[i] + F.col(f"d{i}") + prior[i] for i in every])
-    lang, confidence = _best(names, fused)
-    text_lang, _ = _best(names, [F.col(f"p{i}") for i in every])
+    out = _with_shares(joined, [text[i] + F.col(f"d{i}") + prior[i] for i in every], "_fused")
+    out = _with_best(_with_best(out, names, "_fused", "_lang", "_sure"), names, "p", "_text_lang", "_text_sure")
     known = F.col("text_score").isNotNull()
-    out = joined.withColumn("text_lang", F.when(known, text_lang).otherwise(F.lit("und"))).withColumn("_lang", F.when(known, lang).otherwise(F.lit("und"))).withColumn("confidence", F.when(known, confidence).otherwise(F.lit(0.0)))
+    out = out.withColumn("text_lang", F.when(known, F.col("_text_lang")).otherwise(F.lit("und")))
+    out = out.withColumn("_lang", F.when(known, F.col("_lang")).otherwise(F.lit("und"))).withColumn("confidence", F.when(known, F.col("_sure")).otherwise(F.lit(0.0)))
     kept = [c for c in rows.columns if c not in ("text", "lang", "confidence", "accepted", "suffix", "text_lang")]
     return out.select(*kept, "suffix", "text_lang", F.col("_lang").alias("lang"), "confidence", ((F.col("_lang") != "und") & (F.col("confidence") >= CONFIDENCE)).alias("accepted"))
 
