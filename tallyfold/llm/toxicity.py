@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Words, saved, table
+from tallyfold.llm.common import Words, parts, saved, table
 
 EXAMPLES = 2000
 TERMS = 1024
@@ -170,7 +170,7 @@ class Model:
 
         def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher, total, rows = Matcher(matcher_terms), np.zeros(size + 1, np.int64), 0
-            for batch in batches:
+            for batch in parts(batches, "text"):
                 for term, _ in matcher(batch.column(0)):
                     total[term] += 1
                 rows += len(batch)
@@ -219,7 +219,7 @@ def scored(docs: DataFrame, training: DataFrame, labels: DataFrame, examples: in
         model = model_of.value
         toxic, stands_for, doc_ids = model["toxic"], model["stands_for"], model["names"]
         matcher, index = Matcher(model["vocabulary"]), Index(model["examples"], len(model["vocabulary"]))
-        for batch in batches:
+        for batch in parts(batches, "text"):
             scores, evidence = [], []
             for term, count in matcher(batch.column("text")):
                 names, cosines = index.nearest(term, weighted(term, count, model["idf"]))
