@@ -5,10 +5,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tallyfold.llm import decontamination, embeddings, language, language_model, near_duplicates, packing, registry, sharding, substrings, toxicity, urls
+from tallyfold.llm.common import parts
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.01"
@@ -174,6 +176,15 @@ def test_index_finds_the_nearest():
         assert np.allclose(cosines, all_[expected]) and set(names) == set(expected)
 
 
+def test_parts_keep_every_row():
+    texts = ["a" * 5, None, "", "b" * 40, "\u00e9" * 3, "c", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    for most in (1, 6, 7, 1000):
+        cut = list(parts([batch, batch.slice(0, 0), batch.slice(3)], "text", most))
+        assert [r["text"] for part in cut for r in part.to_pylist()] == texts + texts[3:]
+        assert all(len(part) and (len(part) == 1 or sum(len((r["text"] or "").encode()) for r in part.to_pylist()) <= most) for part in cut)
+
+
 def test_language(docs):
     got = {r["doc_id"]: r for r in language.identified(docs.selectExpr("doc_id", "text", "lang as declared", "source as host", "name"), language.trained(docs)).collect()}
     assert [got[i]["accepted"] for i in (3, 4, 5)] == [False] * 3 and got[6]["lang"] == "en"
