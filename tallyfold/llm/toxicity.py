@@ -1,12 +1,13 @@
 """Toxicity by the votes of the nearest labelled examples, found by exact TF-IDF cosine in a block-max inverted index.
 
-Terms are words and the beginnings of words (so that the inflected forms of a word meet); those whose presence depends on the
-label (chi-squared over the examples) make the vocabulary. Inverse document frequencies are counted over all documents.
+Terms are words and the beginnings of words (so that the inflected forms of a word meet). Every term of the examples is indexed; its weight is
+TF-IDF times log(1 + chi-squared), the dependence of its presence on the label over the examples. Inverse document frequencies are counted over all
+documents. Norms are over whole texts: a term that no example holds tells nothing of labels (chi-squared 0), so it weighs 0.
 
 The examples are a bounded sample: at most ``EXAMPLES`` labelled texts of each class, those of the least hash of their words. Votes are weighed
 by how many labelled texts each example stands for. The index holds, for every term and block of examples, the greatest weight; their sum
 bounds all similarities in a block, so blocks are opened in the order of their bounds until the bound falls below the K-th similarity
-found. The result is that of comparing with every example.
+found. The result is that of comparing with every example. Examples bound the size of the index; no term is left out of it.
 
 A text's raw vote is the share of toxic neighbours, weighed by similarity. The raw votes of the examples, each without itself, are fitted to
 their labels by isotonic regression, which makes the score a probability. Evidence names the nearest examples.
@@ -15,6 +16,7 @@ their labels by isotonic regression, which makes the score a probability. Eviden
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,10 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import Words, parts, saved, table
 
 EXAMPLES = 2000
-TERMS = 1024
-CHI_SQUARED = 15.0
 PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST = 2
 EVIDENCE = 3
 _TRIM = b".,;:!?\"'()[]{}<>*_-"
 
@@ -59,21 +60,26 @@ class Matcher:
         words = Words(column)
         codes, distinct = words.coded()
         found = [self.of_word(w) for w in distinct]
-        size = np.array([len(x) for x in found], np.int64) if found else np.empty(0, np.int64)
+        size = np.array([len(x) for x in found], np.int64)
         flat = np.array([i for x in found for i in x], np.int64)
-        first = np.concatenate([[0], np.cumsum(size)])
-        hit = np.flatnonzero(size[codes] > 0) if len(codes) else np.empty(0, np.int64)
-        row = np.searchsorted(words.first, hit, side="right") - 1
-        edge = np.searchsorted(row, np.arange(len(words.first)))
-        for i in range(len(words.first) - 1):
-            here = codes[hit[edge[i] : edge[i + 1]]]
-            yield np.unique(np.concatenate([flat[first[c] : first[c + 1]] for c in here.tolist()]), return_counts=True) if len(here) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        first = np.cumsum(size) - size
+        for a, b in pairwise(words.first.tolist()):
+            word, times = np.unique(codes[a:b], return_counts=True)
+            at, owner = spread(first[word], size[word])
+            term, place = np.unique(flat[at], return_inverse=True)
+            yield term, np.bincount(place, weights=times[owner], minlength=len(term)).astype(np.int64)
 
 
-def weighted(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights of unit length."""
-    w = (1 + np.log(count)) * idf[term] if len(term) else np.empty(0)
-    return w / np.linalg.norm(w) if len(w) else w
+def spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all the runs that begin at ``first``, one after the other, and the run of each."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + np.repeat(first - (np.cumsum(size) - size), size), owner
+
+
+def weighted(term: np.ndarray, count: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of unit length, ``each`` being what a term weighs; all 0 where no term weighs anything."""
+    w = (1 + np.log(count)) * each[term]
+    return w / max(float(np.linalg.norm(w)), 1e-300)
 
 
 class Index:
@@ -84,33 +90,43 @@ class Index:
         key = [tuple(term[np.argsort(-weight, kind="stable")][:3].tolist()) for term, weight in examples]
         order = sorted(range(len(examples)), key=lambda i: (key[i] or (terms,), i))
         self.example = np.array(order, np.int64)
-        blocks = -(-len(order) // BLOCK) or 1
-        self.bound = np.zeros((terms, blocks), np.float64)
-        lists: dict[tuple[int, int], list] = {}
-        for at, i in enumerate(order):
-            for term, weight in zip(examples[i][0].tolist(), examples[i][1].tolist(), strict=True):
-                lists.setdefault((term, at // BLOCK), []).append((at % BLOCK, weight))
-                self.bound[term, at // BLOCK] = max(self.bound[term, at // BLOCK], weight)
-        self.lists = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for k, v in lists.items()}
+        self.blocks = -(-len(order) // BLOCK) or 1
+        size = np.array([len(examples[i][0]) for i in order], np.int64)
+        term = np.concatenate([np.empty(0, np.int64), *(examples[i][0] for i in order)])
+        weight = np.concatenate([np.empty(0), *(examples[i][1] for i in order)])
+        by_term = np.argsort(term, kind="stable")
+        at, term = np.repeat(np.arange(len(order)), size)[by_term], term[by_term]
+        self.at, self.weight = at.astype(np.int32), weight[by_term]
+        # A run is the postings of a term in a block; those of a term come one after the other.
+        key = term * self.blocks + at // BLOCK
+        self.run_first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.run_size = np.diff(self.run_first, append=len(key))
+        self.run_block = (key[self.run_first] % self.blocks).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.weight, self.run_first) if len(key) else np.empty(0)
+        self.runs = np.searchsorted(key[self.run_first] // self.blocks, np.arange(terms + 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of the greatest cosine above zero, of equal ones the first, and the cosines."""
-        if not len(term):
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = weight @ self.bound[term]
+        run, owner = spread(self.runs[term], self.runs[term + 1] - self.runs[term])
+        w = weight[owner]
+        block = self.run_block[run]
+        bounds = np.bincount(block, weights=w * self.bound[run], minlength=self.blocks)
+        ranked = np.argsort(-bounds, kind="stable")
         names, cosines, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        pairs = list(zip(term.tolist(), weight.tolist(), strict=True))
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or bounds[block] < worst - 1e-12:
+        # The best blocks first; what they leave is opened at once.
+        for some in (ranked[:FIRST], ranked[FIRST:]):
+            opened = np.zeros(self.blocks, bool)
+            opened[some] = (bounds[some] > 0) & (bounds[some] >= worst - 1e-8)
+            here = opened[block]
+            if not here.any():
                 break
-            score = np.zeros(BLOCK)
-            for t, w in pairs:
-                if (found := self.lists.get((t, block))) is not None:
-                    score[found[0]] += w * found[1]
+            found, size = run[here], self.run_size[run[here]]
+            end = np.cumsum(size)
+            posting = np.arange(end[-1]) + np.repeat(self.run_first[found] - (end - size), size)
+            score = np.bincount(self.at[posting], weights=np.repeat(w[here], size) * self.weight[posting], minlength=len(self.example))
             hit = np.flatnonzero(score > 0)
-            example = self.example[block * BLOCK + hit]
-            keep = example != without
-            names, cosines = np.append(names, example[keep]), np.append(cosines, np.round(score[hit][keep], 9))
+            keep = self.example[hit] != without
+            names, cosines = np.append(names, self.example[hit][keep]), np.append(cosines, np.round(score[hit][keep], 9))
             if len(names) >= k:
                 order = np.lexsort((names, -cosines))[:k]
                 names, cosines = names[order], cosines[order]
@@ -122,7 +138,7 @@ class Index:
 def vote(names: np.ndarray, cosines: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray) -> float:
     """The toxic share of the neighbours' weights; -1 without neighbours."""
     w = cosines**2 * stands_for[names]
-    return float((w * toxic[names]).sum() / w.sum()) if len(names) else -1.0
+    return float((w * toxic[names]).sum() / w.sum()) if w.any() else -1.0
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +168,7 @@ def _candidate_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 class Model:
-    """What tasks need: vocabulary, weights, the index of examples and the calibration. Its size is bounded by the parameters."""
+    """What tasks need: vocabulary, weights, the index of examples and the calibration. Its size is bounded by that of the examples."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, examples: int):
         one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -164,7 +180,7 @@ class Model:
         seen = chosen.select("text", "toxic").mapInArrow(_candidate_terms, "term binary, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
         expected = F.col("n") * (bad / max(n, 1))
         chi = (F.col("toxic") - expected) ** 2 * n / (expected * (n - F.col("n")) * (1 - bad / max(n, 1)) + 1e-9)
-        vocabulary = seen.where("n >= 5").withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), "term").limit(TERMS).toPandas()
+        vocabulary = seen.select("term", chi.alias("chi")).toPandas().sort_values("term")
         self.vocabulary = [bytes(x) for x in vocabulary["term"]]
         matcher_terms, size = self.vocabulary, len(self.vocabulary)
 
@@ -175,12 +191,13 @@ class Model:
                     total[term] += 1
                 rows += len(batch)
             total[size] = rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["term", "n"])
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["term", "n"])
 
         df = np.zeros(size + 1, np.int64)
         found = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
         df[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-        self.idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+        self.weights = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.log1p(vocabulary["chi"].to_numpy(np.float64))
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(matcher_terms)
@@ -194,10 +211,9 @@ class Model:
         share = [sizes.get(y, 0) / max(1, int((self.toxic == y).sum())) for y in (0, 1)]
         self.stands_for = np.where(self.toxic > 0, share[1], share[0])
         given = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(rows["term"], rows["count"], strict=True)]
-        examples_ = [(t, weighted(t, c, self.idf)) for t, c in given]
-        self.examples = examples_
-        index = Index(examples_, size)
-        raw = np.array([vote(*index.nearest(t, w, without=i), self.toxic, self.stands_for) for i, (t, w) in enumerate(examples_)])
+        examples_ = [(t, weighted(t, c, self.weights)) for t, c in given]
+        self.index = Index(examples_, size)
+        raw = np.array([vote(*self.index.nearest(t, w, without=i), self.toxic, self.stands_for) for i, (t, w) in enumerate(examples_)])
         scale = len(raw) / self.stands_for.sum() if len(raw) else 1.0
         self.knots, self.levels = isotonic(raw, self.toxic, self.stands_for * scale) if len(raw) else (np.array([-1.0]), np.array([0.5]))
 
@@ -209,7 +225,7 @@ def calibrated(raw: float, knots: np.ndarray, levels: np.ndarray) -> float:
 def scored(docs: DataFrame, training: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """``docs`` without text, with score (double), predicted (int) and evidence (array of the nearest examples).
 
-    ``training`` (doc_id, text) are the rows that labels may be learned from. NULL and empty texts and those without a term of the vocabulary have no
+    ``training`` (doc_id, text) are the rows that labels may be learned from. NULL and empty texts and those without a term of any example have no
     neighbour: their score is the calibrated share of such examples. Without any label every score is 0.5. Repeated rows are scored
     alike; contrary labels of an id count as toxic. An empty table stays empty.
     """
@@ -218,11 +234,11 @@ def scored(docs: DataFrame, training: DataFrame, labels: DataFrame, examples: in
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
         toxic, stands_for, doc_ids = model["toxic"], model["stands_for"], model["names"]
-        matcher, index = Matcher(model["vocabulary"]), Index(model["examples"], len(model["vocabulary"]))
+        matcher, index = Matcher(model["vocabulary"]), model["index"]
         for batch in parts(batches, "text"):
             scores, evidence = [], []
             for term, count in matcher(batch.column("text")):
-                names, cosines = index.nearest(term, weighted(term, count, model["idf"]))
+                names, cosines = index.nearest(term, weighted(term, count, model["weights"]))
                 scores.append(calibrated(vote(names, cosines, toxic, stands_for), model["knots"], model["levels"]))
                 evidence.append([{"doc_id": doc_ids[i], "similarity": float(c), "toxic": int(toxic[i])} for i, c in zip(names[:EVIDENCE].tolist(), cosines.tolist(), strict=False)])
             columns = [x for x in batch.schema.names if x != "text"]

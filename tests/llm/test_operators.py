@@ -158,6 +158,14 @@ def test_toxicity(spark, docs):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_toxicity_knows_rare_words(spark):
+    texts = [f"common words here plain{i}" for i in range(30)] + [f"common words here vile{i // 2}" for i in range(6)] + ["vile1 unseen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(36)], "doc_id long, toxic int")
+    last = toxicity.scored(docs, docs.where("doc_id < 36"), labels).where("doc_id = 36").first()
+    assert last["evidence"][0]["toxic"] == 1 and last["evidence"][0]["doc_id"] in ("32", "33")
+
+
 def test_index_finds_the_nearest():
     random = np.random.default_rng(3)
     examples = []
