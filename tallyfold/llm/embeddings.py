@@ -2,7 +2,8 @@
 
 A filter is a direction; a vector belongs to all filters whose direction it exceeds ``alpha`` with. Vectors at a small angle share
 filters, others hardly do. The directions form a structured product code: the coordinates are cut into two blocks, each block has B
-random unit directions, and each pair of them is a filter. So B * B filters need only 2 * B products a vector, and the filters exceeded are
+random unit directions, and each pair of them is a filter. Vectors are turned by one random rotation first, so that it does not matter
+which coordinates hold their weight. So B * B filters need only 2 * B products a vector, and the filters exceeded are
 listed from the sorted products without visiting the others.
 
 B follows the number of vectors, so that a filter's share of them stays small. ``alpha`` is the greatest value at which a simulated pair at
@@ -36,6 +37,8 @@ class Code:
 
     def __init__(self, length: int, side: int, cosine: float):
         random = seeded(f"product code {length} {side}")
+        turned, upper = np.linalg.qr(seeded(f"rotation {length}").standard_normal((length, length)))
+        self.rotation = turned * np.where(np.diag(upper) < 0, -1.0, 1.0)
         self.cut = length - length // 2
         self.side = side
         self.blocks = []
@@ -58,6 +61,7 @@ class Code:
         self.alpha = float(np.quantile(best, 1 - RECALL))
 
     def products(self, unit: np.ndarray) -> list[np.ndarray]:
+        unit = unit @ self.rotation
         return [unit[:, : self.cut] @ self.blocks[0].T, unit[:, self.cut :] @ self.blocks[1].T]
 
     def filters(self, unit: np.ndarray) -> list[np.ndarray]:

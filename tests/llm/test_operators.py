@@ -226,6 +226,25 @@ def test_embeddings(spark):
     assert all(got[i] == (0, i, True) for i in (3, 5, 6, 7, 8, 9, 10))
 
 
+def _near_pairs(random, n, length, used, cosine):
+    """``n`` pairs of unit vectors of a given cosine, with weight in the first ``used`` coordinates only."""
+    a, b = np.zeros((n, length)), np.zeros((n, length))
+    a[:, :used], b[:, :used] = random.standard_normal((n, used)), random.standard_normal((n, used))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, np.asarray(cosine).reshape(-1, 1) * a + np.sqrt(1 - np.asarray(cosine).reshape(-1, 1) ** 2) * b
+
+
+@pytest.mark.parametrize("used", [64, 40, 32, 16])
+@pytest.mark.parametrize("side", [90, 284])
+def test_filters_find_pairs_wherever_their_weight_is(used, side):
+    a, b = _near_pairs(np.random.default_rng(6), 400, 64, used, 0.9)
+    code = embeddings.Code(64, side, 0.9)
+    met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(code.filters(a), code.filters(b), strict=True)]
+    assert np.mean(met) >= 0.97
+
+
 def test_chunks_change_nothing(spark, monkeypatch):
     random = np.random.default_rng(5)
     base = random.standard_normal(16)
