@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import components, least_linked, saved, seeded, table
 
 COSINE = 0.9
-RECALL = 0.99
+RECALL = 0.9995
 CHUNK = 1024
 
 

@@ -245,6 +245,15 @@ def test_filters_find_pairs_wherever_their_weight_is(used, side):
     assert np.mean(met) >= 0.97
 
 
+@pytest.mark.parametrize("length", [16, 64])
+def test_filters_find_pairs_just_above_the_linking_cosine(length):
+    random = np.random.default_rng(7)
+    a, b = _near_pairs(random, 4000, length, length, random.uniform(0.9, 0.92, 4000))
+    code = embeddings.Code(length, 90, 0.9)
+    met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(code.filters(a), code.filters(b), strict=True)]
+    assert np.mean(met) >= 0.998
+
+
 def test_chunks_change_nothing(spark, monkeypatch):
     random = np.random.default_rng(5)
     base = random.standard_normal(16)
