@@ -1,9 +1,9 @@
 """URL filters by association rules.
 
 Labelled URLs are sets of tokens (host, domain, folder, file extension, query keys). FP-growth mines the token sets that come
-often with a label; those whose share of the label is high enough become rules. A rule matches a URL that has all of its tokens: an
+often with a label, however rare the label is; those whose share of the label is surely above that of all rows become rules. A rule matches a URL that has all of its tokens: an
 inverted index leads from a token to the rules with it, and the rules whose tokens are all met are counted out. Of the matching rules
-the most confident decides. Fixed rules (host, path) come before any of them.
+the one that surely raises its label's share the most decides. Fixed rules (host, path) come before any of them.
 
 Rules and URLs are joined by token and grouped by (URL, rule) with partial sums; equal URLs are judged once.
 """
@@ -11,6 +11,7 @@ Rules and URLs are joined by token and grouped by (URL, rule) with partial sums;
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.fpm import FPGrowth
@@ -21,8 +22,8 @@ from tallyfold.llm.common import saved, table
 
 #: (host, path, verdict): a rule fits its host and all below it, where the path begins with its own.
 FIXED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SUPPORT = 0.01
-MIN_CONFIDENCE = 0.6
+MIN_ROWS = 5
+SIGNIFICANCE = 0.05
 DEFAULT = "allow"
 _LABEL = "label="
 
@@ -58,29 +59,37 @@ def tokens() -> Column:
     return F.array_distinct(F.concat(F.array_compact(F.array(*(F.concat(F.lit(name), value) for name, value in parts))), keys))
 
 
-def mined(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule_id, items, verdict, confidence, support) from (url, verdict); rows without a verdict are left out.
+def mined(labelled: DataFrame, rows_at_least: int = MIN_ROWS, significance: float = SIGNIFICANCE) -> DataFrame:
+    """Rules (rule_id, items, verdict, confidence, support, lift) from (url, verdict); rows without a verdict are left out.
 
-    A rule that says no more than the label does on the whole (lift 1 or less) is dropped.
+    A token set needs ``rows_at_least`` rows of a label, whatever the label's share. It becomes a rule if the lower end of the confidence
+    interval (Wilson's) is above the label's share of all rows; ``significance`` is shared out over all sets that are tried. ``lift`` is
+    that lower end over that share.
     """
     rows = parsed(labelled.where("verdict is not null").select("url", "verdict"))
     baskets = saved(rows.select(F.concat(tokens(), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items")), "baskets")
-    empty = "rule_id string, items array<string>, verdict string, confidence double, support double"
-    if baskets.isEmpty():
+    empty = "rule_id string, items array<string>, verdict string, confidence double, support double, lift double"
+    n = baskets.count()
+    if not n:
         return labelled.sparkSession.createDataFrame([], empty)
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
+    # A set and a label come together in so many rows; half a row less, so that rounding drops none.
+    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, (rows_at_least - 0.5) / n), minConfidence=0.0).fit(baskets).associationRules
     said = F.col("consequent")[0]
-    useful = rules.where(said.startswith(_LABEL) & (F.col("lift") > 1) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
+    tried = saved(rules.where(said.startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL))), "tried")
+    z = NormalDist().inv_cdf(1 - significance / max(1, tried.count()))
+    base, p, m = F.col("confidence") / F.col("lift"), F.col("confidence"), F.col("support") * n / F.col("confidence")
+    low = (p + z * z / (2 * m) - z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    useful = tried.withColumn("surely", low / base).where("surely > 1")
     items = F.array_sort("antecedent")
-    return saved(useful.select(F.array_join(items, " & ").alias("rule_id"), items.alias("items"), F.substring(said, len(_LABEL) + 1, 1000).alias("verdict"), "confidence", "support"), "rules")
+    return saved(useful.select(F.array_join(items, " & ").alias("rule_id"), items.alias("items"), F.substring(said, len(_LABEL) + 1, 1000).alias("verdict"), "confidence", "support", F.col("surely").alias("lift")), "rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, method_rule, method_verdict, confidence): the best rule of each distinct URL that has one."""
-    index = saved(rules.select(F.explode("items").alias("token"), "rule_id", F.size("items").alias("size"), "verdict", "confidence", "support"), "rule_index")
+    index = saved(rules.select(F.explode("items").alias("token"), "rule_id", F.size("items").alias("size"), "verdict", "confidence", "support", "lift"), "rule_index")
     met = urls.select("url", F.explode(tokens()).alias("token")).join(index, "token")
-    whole = met.groupBy("url", "rule_id", "verdict", "confidence", "support", "size").agg(F.count("*").alias("n")).where("n = size")
-    best = F.max(F.struct("confidence", "support", F.col("verdict"), "rule_id"))
+    whole = met.groupBy("url", "rule_id", "verdict", "confidence", "support", "lift", "size").agg(F.count("*").alias("n")).where("n = size")
+    best = F.max(F.struct("lift", "confidence", "support", F.col("verdict"), "rule_id"))
     return whole.groupBy("url").agg(best.alias("best")).select("url", F.col("best.rule_id").alias("method_rule"), F.col("best.verdict").alias("method_verdict"), F.col("best.confidence").alias("confidence"))
 
 

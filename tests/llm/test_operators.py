@@ -216,6 +216,14 @@ def test_urls(spark):
     assert urls.judged(frame, labelled.limit(0)).count() == len(pages)
 
 
+def test_rare_bad_host_becomes_a_rule(spark):
+    good = [(f"http://h{i % 50}.good{i % 50}.com/a/{i}", "block" if i % 25 == 0 else "allow") for i in range(1500)]
+    labelled = spark.createDataFrame([*good, *((f"http://www.rare.com/a/{i}", "block") for i in range(8))], "url string, verdict string")
+    asked = spark.createDataFrame([("http://www.rare.com/a/99",), ("http://h1.good1.com/a/99",)], "url string")
+    got = {r["url"]: r["verdict"] for r in urls.judged(asked, labelled).collect()}
+    assert got == {"http://www.rare.com/a/99": "block", "http://h1.good1.com/a/99": "allow"}
+
+
 def test_embeddings(spark):
     random = np.random.default_rng(4)
     base = random.standard_normal(16)
