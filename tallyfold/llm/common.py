@@ -65,10 +65,11 @@ def text_hash(column: str = "text"):
 class Words:
     """The words of a column of texts (NULL: no words), as arrays over all its rows.
 
-    ``start`` and ``end`` are byte positions in ``data``; the words of row i are ``first[i]:first[i + 1]``.
+    ``start`` and ``end`` are byte positions in ``data``; the words of row i are ``first[i]:first[i + 1]``. ``spaces`` tells for each byte
+    whether it stands between words.
     """
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray):
+    def __init__(self, column: pa.Array | pa.ChunkedArray, spaces: np.ndarray = _IS_SPACE):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = column.cast(pa.large_binary()).fill_null(b"")
@@ -76,7 +77,7 @@ class Words:
         at = np.frombuffer(buffers[1], np.int64, n + 1, column.offset * 8)
         data = np.frombuffer(buffers[2], np.uint8)[at[0] : at[-1]] if buffers[2] is not None else np.empty(0, np.uint8)
         at = at - at[0]
-        space = _IS_SPACE[data]
+        space = spaces[data]
         begins, ends = ~space, ~space
         begins[1:] &= space[:-1]
         ends[:-1] &= space[1:]
