@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("embeddings", "toxicity", "sharding", "substrings", "urls", "language_model", "packing", "decontamination", "language", "near_duplicates", "phrases", "variants")
+MODULES = ("embeddings", "toxicity", "sharding", "substrings", "urls", "language_model", "packing", "decontamination", "language", "near_duplicates", "phrases", "variants", "quality")
 
 
 def _merged(attribute: str) -> dict:
