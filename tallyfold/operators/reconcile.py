@@ -61,9 +61,29 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], rules: list[Ru
     condition and one the ISSUE struct. Pairs lacking a side take part, so rules must say what they
     need; a condition that is NULL is not broken.
     """
+    return broken_rules(matched(left, right, keys), rules)
+
+
+def broken_rules(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The same for pairs ``(*keys, l, r)`` that are matched already."""
     l, r = F.col("l"), F.col("r")
     found = F.array(*[F.when(broken(l, r), as_issue(l, r)) for broken, as_issue in rules])
-    return matched(left, right, keys).select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("i.*")
+    return pairs.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("i.*")
+
+
+def tagged(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``(*keys, l, r)`` as :func:`matched`, by one aggregate over the union of both sides instead of a join.
+
+    ``left`` is unique by ``keys``; of several rows of ``right`` that with the greatest ``order`` counts. ``l`` and ``r`` hold the columns of
+    ``left``. Rows are combined before they are shuffled, so a key that many rows share is no hot key.
+    """
+    fields = [c for c in left.columns if c not in keys]
+    packed = F.struct(F.lit(True).alias("present"), *fields)
+    rank = F.struct(*order)
+    one = left.select(*keys, packed.alias("l"))
+    many = right.select(*keys, packed.alias("r"), rank.alias("rank"))
+    both = one.unionByName(many, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(F.any_value("l", True).alias("l"), F.max_by("r", "rank").alias("r"))
 
 
 def presence(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from tallyfold.operators.reconcile import last_per_key
 from tallyfold.operators.snapshot import snapshot_diff
 from tallyfold.plans.tables import table
 from tallyfold.schemas import CATALOG_HEADER
-from tallyfold.session import scratch_path
+from tallyfold.session import scratch_path, written
 from tallyfold.sinks.csv_files import catalog_rows, write_csv
 from tallyfold.sources.catalogs import documented_columns, read_catalog, table_definitions, typed_catalog
 from tallyfold.sources.metadata import SYSTEM_SCHEMAS, described_columns, user_tables
@@ -89,17 +89,17 @@ def _reference_text() -> Column:
     return F.concat_ws(".", "ref_schema", "ref_table", "ref_column")
 
 
-def actual_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """METADATA rows of the actual schema, whose columns all date from before December."""
-    columns = raw_columns(spark, sf_dir).where(_month() < 12)
+def actual_metadata(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> DataFrame:
+    """METADATA rows of the actual schema, or of some of its raw ``columns``."""
+    columns = raw_columns(spark, sf_dir) if columns is None else columns
     foreign = foreign_keys(columns, table(spark, sf_dir, "lineitem")).withColumn("foreign_key", _reference_text())
     raw = columns.select(*TABLE, "column", "order", "data_type", "precision", "scale", "nullable")
     return described_columns(raw, primary_keys(columns), foreign)
 
 
-def catalog_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw catalog tokens: a row per order since February, and a row per table."""
-    columns = raw_columns(spark, sf_dir).where(_month() > 1)
+def catalog_tokens(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> DataFrame:
+    """Raw catalog tokens: a row per order, or of some of the raw ``columns``, and a row per table."""
+    columns = raw_columns(spark, sf_dir) if columns is None else columns
     price, kind = F.col("o_totalprice"), F.upper("data_type")
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"))
     name = F.concat_ws(".", "schema", "table")
@@ -127,18 +127,20 @@ def catalog_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(heads)
 
 
-def documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documentation(spark: SparkSession, sf_dir: str, columns: DataFrame) -> DataFrame:
     """Documented columns; those of medium priority are documented again in a later file."""
-    rows = typed_catalog(catalog_tokens(spark, sf_dir))
-    again = rows.where(F.col("type") == "CHARACTER VARYING").withColumn("type", F.lit("TEXT"))
-    both = rows.withColumn("file_rank", F.lit(1)).unionByName(again.withColumn("file_rank", F.lit(2)))
-    return documented_columns(without_generated_owners(both))
+    rows = typed_catalog(catalog_tokens(spark, sf_dir, columns))
+    again = F.col("type") == "CHARACTER VARYING"
+    files = rows.withColumn("file_rank", F.explode(F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return documented_columns(without_generated_owners(files.withColumn("type", F.when(F.col("file_rank") == 2, "TEXT").otherwise(F.col("type")))))
 
 
 def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actual = actual_metadata(spark, sf_dir).where(~F.col("schema").isin(*SYSTEM_SCHEMAS, GENERATED_SCHEMA))
+    """The schema as it was before December against a documentation that begins in February."""
+    columns, _ = written(raw_columns(spark, sf_dir), "columns")
+    actual = actual_metadata(spark, sf_dir, columns.where(_month() < 12)).where(~F.col("schema").isin(*SYSTEM_SCHEMAS, GENERATED_SCHEMA))
     actual = actual.withColumn("table", F.concat_ws(".", *TABLE))
-    return catalog_issues(actual, documentation(spark, sf_dir), ["file_rank", "order"])
+    return catalog_issues(actual, documentation(spark, sf_dir, columns.where(_month() > 1)), ["file_rank", "order"])
 
 
 def metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +207,11 @@ def catalog_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differences(spark, sf_dir).select("type", "table", "column", "db_value", "catalog_value")
 
 
+def catalog_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all differences."""
+    return differences(spark, sf_dir).select("type", "table", "column", "message")
+
+
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table_presence(
         user_tables(raw_columns(spark, sf_dir).where(_month() < 12)),
@@ -276,7 +283,7 @@ _FK = """fk_rows AS (
     'o_' || CASE WHEN l_returnflag = 'R' THEN o_orderkey ELSE l_partkey END AS ref_column
   FROM lineitem JOIN raw ON l_orderkey = o_orderkey)"""
 
-_ACTUAL = f"""{_RAW}, db_raw AS (SELECT * FROM raw WHERE mon < 12),
+_ACTUAL = f"""{_RAW}, db_raw AS (SELECT * FROM raw),
 {_FK.replace("JOIN raw", "JOIN db_raw AS raw")},
 ends AS (SELECT schema_name, table_name, min(pos) AS lo, max(pos) AS hi FROM db_raw GROUP BY ALL),
 fk AS (SELECT o_orderkey, arg_max('meta.' || ref_table || '.' || ref_column,
@@ -287,7 +294,8 @@ actual AS (
     nullable, pos IN (lo, hi) AS pk, foreign_key
   FROM db_raw JOIN ends USING (schema_name, table_name) LEFT JOIN fk USING (o_orderkey))"""
 
-_TOKENS = """docs AS (
+_TOKENS = """doc_raw AS (SELECT * FROM raw),
+docs AS (
   SELECT schema_name || '.' || table_name AS tab, column_name AS col,
     pos + CASE WHEN o_totalprice > 450000 THEN 1 ELSE 0 END AS pos,
     CASE WHEN kind = 'INTEGER' THEN 'SERIAL' WHEN kind = 'NUMERIC' AND scale > 0 THEN 'NUMERIC(' || prec || ',' || scale || ')'
@@ -298,11 +306,11 @@ _TOKENS = """docs AS (
       CASE WHEN part IS NOT NULL THEN CASE WHEN o_totalprice > 480000 THEN o_orderkey ELSE part END END END AS foreign_key,
     'Says "' || o_orderpriority || '",' || chr(10) || 'status ' || o_orderstatus AS description,
     CASE WHEN o_totalprice <= 400000 THEN o_orderkey || '|' || o_custkey END AS samples
-  FROM raw LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS part FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
-  WHERE mon > 1),
-heads AS (SELECT DISTINCT schema_name || '.' || table_name AS tab FROM raw WHERE mon > 1)"""
+  FROM doc_raw LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS part FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+heads AS (SELECT DISTINCT schema_name || '.' || table_name AS tab FROM doc_raw)"""
 
-_ISSUES = f"""{_ACTUAL}, {_TOKENS},
+# Two sides that differ: the schema before December, the documentation since February.
+_ISSUES = f"""{_ACTUAL.replace("FROM raw),", "FROM raw WHERE mon < 12),", 1)}, {_TOKENS.replace("FROM raw),", "FROM raw WHERE mon > 1),", 1)},
 a AS (SELECT * FROM actual WHERE schema_name IN ('meta', '{TEST_SCHEMA}')),
 d AS (SELECT * REPLACE (CASE WHEN typ = 'CHARACTER VARYING' THEN 'TEXT' ELSE typ END AS typ) FROM docs
   WHERE tab NOT LIKE '{GENERATED_SCHEMA}.%'),
@@ -392,6 +400,7 @@ QUERIES = {
     "catalog_scan": catalog_scan,
     "catalog_export": catalog_export,
     "catalog_reconcile": catalog_reconcile,
+    "catalog_messages": catalog_messages,
     "catalog_tables": catalog_tables,
     "snapshot_diff": snapshot,
     "identifier_exprs": identifier_exprs,
@@ -416,6 +425,14 @@ ORACLE = {
         coalesce(foreign_key, '') AS "Foreign Key", coalesce(description, '') AS "Description",
         coalesce(sample_values, '') AS "Sample Values" FROM typed""",
     "catalog_reconcile": f'WITH {_ISSUES} SELECT type, tab AS "table", col AS "column", x AS db_value, y AS catalog_value FROM found',
+    "catalog_messages": f"""WITH {_ISSUES} SELECT type, tab AS "table", col AS "column", CASE type
+        WHEN 'missing_table' THEN 'The catalog says nothing about table ' || tab
+        WHEN 'extra_table' THEN 'The catalog describes table ' || tab || ', which is not in the database'
+        WHEN 'missing_column' THEN 'The catalog says nothing about column ' || tab || '.' || col
+        WHEN 'extra_column' THEN 'The catalog describes column ' || tab || '.' || col || ', which is not in the database'
+        WHEN 'foreign_key_missing_in_catalog' THEN 'Column ' || tab || '.' || col || ' refers to ' || x || ', the catalog names no target'
+        ELSE replace(replace(type, '_mismatch', ''), '_', ' ') || ' of ' || tab || '.' || col || ' is ' || x || ' in the database and ' || y || ' in the catalog'
+        END AS message FROM found""",
     "catalog_tables": f"""WITH {_RAW}, a AS (SELECT DISTINCT schema_name, table_name FROM raw WHERE mon < 12 AND schema_name <> 'pg_catalog'),
         d AS (SELECT DISTINCT schema_name, table_name FROM raw WHERE mon > 1 AND schema_name <> 'pg_catalog')
         SELECT (SELECT count(*) FROM a) AS db_tables, (SELECT count(*) FROM d) AS catalog_tables,

@@ -62,7 +62,7 @@ def test_what_is_no_difference(spark, rows):
 def test_messages(spark, rows):
     found = catalog_issues(spark.createDataFrame(ACTUAL, COLUMNS), spark.createDataFrame(FAULTS["nullability_mismatch"], COLUMNS))
     assert rows(found, "db_value", "catalog_value", "message") == [
-        ("False", "True", "Nullability mismatch for 'Name': DB=False, Catalog=True")
+        ("False", "True", "nullability of meta.languages.Name is False in the database and True in the catalog")
     ]
 
 
