@@ -154,7 +154,7 @@ def generation_summary(entries: DataFrame, file: str | None = None, every: bool
     must be given; otherwise the status is error. ``plan`` goes to :func:`gap_plan`.
     """
     if bool(file) == every:
-        text = "Cannot provide both 'file' and 'every'" if every else "Must provide either 'file' or 'every'"
+        text = "Name a file or ask for all, not both" if every else "Name a file or ask for all"
         row = [("error", text, 0, 0)]
         return entries.sparkSession.createDataFrame(row, "status string, message string, folders_processed long, files_generated long")
     chosen = entries if every else entries.where(F.col("file") == file)
@@ -162,7 +162,7 @@ def generation_summary(entries: DataFrame, file: str | None = None, every: bool
     folders = F.count(F.lit(1)) if every else F.lit(1).cast("long")
     totals = files.agg(folders.alias("folders_processed"), F.coalesce(F.sum("languages"), F.lit(0)).alias("files_generated"))
     n, m = F.col("files_generated").cast("string"), F.col("folders_processed").cast("string")
-    message = F.format_string("Updated %s languages across %s files", n, m)
+    message = F.format_string("%s languages had gaps in a run over %s files", n, m)
     return totals.select(F.lit("success").alias("status"), message.alias("message"), "folders_processed", "files_generated")
 
 

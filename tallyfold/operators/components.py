@@ -72,7 +72,7 @@ def path_mismatches(scanned: DataFrame, bundles: DataFrame) -> DataFrame:
         "translation_path_mismatch",
         file=F.col("path"),
         text=F.col("call"),
-        message=F.format_string("Path '%s' does not match component location '%s'", "call", "dir"),
+        message=F.format_string("The bundle of %s is opened from %s, and there is no such bundle", "call", "dir"),
     )
 
 
@@ -98,7 +98,7 @@ def alias_issues(scanned: DataFrame) -> DataFrame:
         "aliased_translation_function",
         file=F.col("path"),
         text=F.col("alias"),
-        message=F.format_string("Lookup function aliased as '%s'", "alias"),
+        message=F.format_string("The lookup function goes by the name %s here", "alias"),
     )
 
 
@@ -110,7 +110,7 @@ def missing_bundles(scanned: DataFrame, bundles: DataFrame) -> DataFrame:
         _using(scanned).join(found, "path", "left_anti"),
         "component_missing_translations",
         file=F.col("path"),
-        message=F.format_string("Component uses translations but there is no bundle in %s", "dir"),
+        message=F.format_string("Texts are looked up, yet %s has no bundle and no other one is opened", "dir"),
     )
 
 
@@ -123,7 +123,7 @@ def hardcoded_issues(scanned: DataFrame) -> DataFrame:
         file=F.col("path"),
         text=F.col("text"),
         line=F.col("line"),
-        message=F.format_string("Hardcoded text found at line %s: '%s'", F.col("line").cast("string"), F.col("text")),
+        message=F.format_string("Line %s shows a fixed text: %s", F.col("line").cast("string"), F.col("text")),
     )
 
 
@@ -135,7 +135,7 @@ def untranslated_components(scanned: DataFrame) -> DataFrame:
         "component_needs_translations",
         file=F.col("path"),
         count=n,
-        message=F.format_string("Component has %s hardcoded texts but uses no translations", n.cast("string")),
+        message=F.format_string("No text is looked up, %s are fixed", n.cast("string")),
     )
 
 
@@ -148,7 +148,7 @@ def missing_keys(scanned: DataFrame, bundles: DataFrame, keys: DataFrame) -> Dat
         "component_missing_key",
         file=F.col("path"),
         key=F.col("key"),
-        message=F.format_string("Key '%s' used in component but not found in its bundle", "key"),
+        message=F.format_string("The bundle has no text for %s", "key"),
     )
 
 
@@ -197,7 +197,7 @@ def unused_key_issues(scanned: DataFrame, bundles: DataFrame, keys: DataFrame, u
         "component_unused_key",
         file=F.col("path"),
         key=F.col("key"),
-        message=F.format_string("Key '%s' is defined but not used by any component in the directory tree", "key"),
+        message=F.format_string("Nothing at or below the folder looks up %s", "key"),
     )
 
 
@@ -259,10 +259,10 @@ def seed_name_issues(seeds: dict[str, DataFrame | None], actual: DataFrame | Non
         spark.createDataFrame([(n,) for n, df in seeds.items() if df is None], "seed string"),
         "global_translations_seed_not_found",
         file=F.col("seed"),
-        message=F.format_string("Seed table not found: %s", "seed"),
+        message=F.format_string("There is no table %s to take names from", "seed"),
     )
     if actual is None:
-        lost = issues(spark.range(1), "global_translations_missing", message=F.lit("Global bundle not found"))
+        lost = issues(spark.range(1), "global_translations_missing", message=F.lit("There is no global bundle"))
         return result.unionByName(lost)
     names = spark.createDataFrame([], "key string")
     for df in present.values():
@@ -273,12 +273,12 @@ def seed_name_issues(seeds: dict[str, DataFrame | None], actual: DataFrame | Non
         expected.join(actual, "key", "left_anti"),
         "global_translations_missing_key",
         key=F.col("key"),
-        message=F.format_string("Key '%s' found in seed table but missing from the global bundle", "key"),
+        message=F.format_string("The global bundle has no text for the name %s", "key"),
     )
     extra = issues(
         actual.join(expected, "key", "left_anti"),
         "global_translations_extra_key",
         key=F.col("key"),
-        message=F.format_string("Key '%s' in the global bundle but not found in any seed table", "key"),
+        message=F.format_string("No table has the name %s of the global bundle", "key"),
     )
     return result.unionByName(lacking).unionByName(extra)

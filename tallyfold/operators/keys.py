@@ -60,3 +60,27 @@ def paired_key_columns(constraints: DataFrame) -> DataFrame:
         "ref_table",
         F.col("pair.ref_columns").alias("ref_column"),
     )
+
+
+def catalogued_foreign_keys(constraints: DataFrame, relations: DataFrame, namespaces: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Foreign key columns with the columns they refer to, from the system catalog's own form.
+
+    ``constraints`` (name, kind, relation, ref_relation, numbers, ref_numbers) hold the column numbers of both sides as arrays, which a lateral join
+    unnests side by side with their position. ``relations`` (id, name, namespace), ``namespaces`` (id, name) and ``attributes``
+    (relation, number, name) give the names; each is used for either side, which makes seven relations in all.
+    """
+    keys = constraints.where(F.col("kind") == "f").select("name", "relation", "ref_relation", "numbers", "ref_numbers").alias("k")
+    zipped = F.arrays_zip(F.col("k.numbers").outer().alias("number"), F.col("k.ref_numbers").outer().alias("ref_number"))
+    pairs = constraints.sparkSession.tvf.posexplode(zipped).toDF("at", "pair")
+    unnested = keys.lateralJoin(pairs).select("name", "relation", "ref_relation", (F.col("at") + 1).alias("position"), "pair.number", "pair.ref_number")
+
+    def names(prefix: str) -> DataFrame:
+        spaces = namespaces.select(F.col("id").alias("namespace"), F.col("name").alias(f"{prefix}schema"))
+        return relations.join(spaces, "namespace").select(F.col("id").alias(f"{prefix}relation"), f"{prefix}schema", F.col("name").alias(f"{prefix}table"))
+
+    def columns(prefix: str) -> DataFrame:
+        return attributes.select(F.col("relation").alias(f"{prefix}relation"), F.col("number").alias(f"{prefix}number"), F.col("name").alias(f"{prefix}column"))
+
+    named = unnested.join(names(""), "relation").join(names("ref_"), "ref_relation")
+    named = named.join(columns(""), ["relation", "number"]).join(columns("ref_"), ["ref_relation", "ref_number"])
+    return named.select(*_CONSTRAINT, "column", "position", "ref_schema", "ref_table", "ref_column")

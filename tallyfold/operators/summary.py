@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.reconcile import union_all
 
-# The issue types of components, in report order. Issues of the global bundle carry the
-# last four but belong to neither group of the report.
+# The issue types of components, in report order.
 COMPONENT_TYPES = (
     "component_missing_translations",
     "component_missing_key",
@@ -19,10 +18,6 @@ COMPONENT_TYPES = (
     "orphaned_translation_folder",
     "duplicate_use_translation",
     "aliased_translation_function",
-    "global_translations_missing",
-    "global_translations_missing_key",
-    "global_translations_extra_key",
-    "global_translations_seed_not_found",
 )
 
 

@@ -189,7 +189,7 @@ ORACLE = {
     "gap_files": f"""WITH {_GAPS} SELECT file, count(DISTINCT lang) AS languages, count(*) FILTER (WHERE action = 'add') AS added,
         count(*) FILTER (WHERE action = 'remove') AS removed FROM plan GROUP BY file""",
     "gap_summary": f"""WITH {_GAPS}, f AS (SELECT count(DISTINCT file) AS m, count(DISTINCT (file, lang)) AS n FROM plan)
-        SELECT 'success' AS status, 'Updated ' || n || ' languages across ' || m || ' files' AS message, m AS folders_processed, n AS files_generated FROM f""",
+        SELECT 'success' AS status, n || ' languages had gaps in a run over ' || m || ' files' AS message, m AS folders_processed, n AS files_generated FROM f""",
     "gap_fill": f"""WITH {_GAPS}, r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
         SELECT file, lang, key, value, 'kept' AS origin FROM o
           ANTI JOIN plan ON plan.file = o.file AND plan.lang = o.lang AND plan.key = o.key

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.functions.components import folder_of
 from tallyfold.operators.mirror import bucket_list, content_type, manifest, mirror_apply, mirror_counts, mirror_diff
 from tallyfold.plans.tables import table
 from tallyfold.session import scratch_path
 from tallyfold.sinks.csv_files import write_csv
-from tallyfold.sinks.tables import replace_rows
-from tallyfold.sources.corpus import corpus_from_table
+from tallyfold.sinks.lines import numbered_lines, read_lines, write_lines
+from tallyfold.sinks.tables import read_rows, replace_rows
+from tallyfold.sources.corpus import corpus_from_table, read_corpus
 from tallyfold.sources.csv_files import load_strict
 from tallyfold.sources.files import is_component, is_system_file, named
+from tallyfold.sources.storage import list_tree
 
 BUCKETS = ("click", "purchase", "signup", "view", "absent")
 SPLIT_DAY = "2024-01-16"
@@ -139,9 +142,49 @@ def csv_strict_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns.withColumn("role", F.when(F.col("role") == "user", "").otherwise(F.col("role")))
     write_csv(turns, path, keep_empty=False)
     replace_rows(load_strict(spark, path, "conv_id long, turn long, role string, text string"), target)
-    return spark.read.parquet(target)
+    return read_rows(spark, target)
 
 
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files in a folder for each source: the bytes in each folder, and the hidden files that the writer left beside them."""
+    path = scratch_path(spark, "tree")
+    table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(path)
+    files = list_tree(spark, [path, f"{path}/absent"])
+    folder = F.regexp_extract("path", "/source=([^/]+)/[^/]+$", 1)
+    marker = F.col("name") == "_SUCCESS"
+    kept = files.where(marker | F.startswith("name", F.lit("part-"))).groupBy(folder.alias("folder"))
+    return kept.agg(F.sum("size").alias("bytes"), F.count_if(marker).alias("markers"))
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files in a folder for each source and language, those in German broken: what is read of each folder, and what is not."""
+    path = scratch_path(spark, "corpus")
+    broken = F.concat(F.expr("cast(unhex('ff') as string)"), F.col("text"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = docs.select("source", "lang", F.when(F.col("lang") == "de", broken).otherwise(F.col("text")).alias("text"))
+    docs.repartition("source", "lang").write.partitionBy("source", "lang").text(path)
+    texts, failed = read_corpus(spark, [path, f"{path}/absent"], path)
+    read = texts.groupBy("dir").agg(F.sum(F.length("content").cast("long")).alias("chars")).select("dir", F.lit(None).cast("string").alias("reason"), "chars")
+    lost = failed.where(F.col("path").endswith(".txt")).where(~F.substring_index("path", "/", -1).startswith("."))
+    lost = lost.select(folder_of(F.col("path")).alias("dir"), "reason").distinct()
+    return read.unionByName(lost.withColumn("chars", F.lit(None).cast("long")))
+
+
+def numbered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses written in order, and read back with their line numbers."""
+    path = scratch_path(spark, "urls")
+    write_lines(table(spark, sf_dir, "pages").select(F.col("url").alias("text")), path, ["text"])
+    return read_lines(spark, path)
+
+
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every line item among all, by order and number."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return numbered_lines(items, items.columns).select("l_orderkey", "l_linenumber", "line")
+
+
+_FILES_SQL = "strlen(coalesce(text, '')) + 1"
+
 _EVENTS = """side AS (SELECT ts >= TIMESTAMP '2024-01-16' AS recent, event_type AS bucket, 'u' || user_id || '/' ||
     CASE WHEN ts < TIMESTAMP '2024-01-16' AND props = '{"k": 0}' THEN '.objects' ELSE regexp_extract(props, '[0-9]+') || '.json' END AS key,
     CAST(floor(arg_max(value, (ts, event_id)) / 50) AS BIGINT) AS size FROM events GROUP BY ALL),
@@ -171,6 +214,10 @@ QUERIES = {
     "corpus_scan": corpus_scan,
     "snapshot_roundtrip": snapshot_roundtrip,
     "csv_strict_load": csv_strict_load,
+    "tree_listing": tree_listing,
+    "corpus_files": corpus_files,
+    "numbered_urls": numbered_urls,
+    "line_numbers": line_numbers,
 }
 
 ORACLE = {
@@ -193,4 +240,11 @@ ORACLE = {
     "snapshot_roundtrip": """SELECT doc_id, text, CASE WHEN lang = 'fr' THEN '' ELSE lang END AS lang,
         CASE WHEN source <> 'src1' THEN source END AS source, n_chars FROM documents""",
     "csv_strict_load": "SELECT conv_id, turn, nullif(role, 'user') AS role, text FROM conversations",
+    "tree_listing": f"""SELECT source AS folder, sum({_FILES_SQL})::BIGINT AS bytes, 0::BIGINT AS markers FROM documents GROUP BY source
+        UNION ALL SELECT '', 0, 1""",
+    "corpus_files": """SELECT 'source=' || source || '/lang=' || lang AS dir, CASE WHEN lang = 'de' THEN 'not valid UTF-8' END AS reason,
+        CASE WHEN lang <> 'de' THEN sum(length(text) + 1)::BIGINT END AS chars FROM documents WHERE text IS NOT NULL GROUP BY source, lang""",
+    "numbered_urls": "SELECT row_number() OVER (ORDER BY url) AS line, url AS text FROM pages",
+    "line_numbers": """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS line
+        FROM lineitem""",
 }

@@ -14,14 +14,16 @@ from tallyfold.functions.identifiers import diagram_name, quote_identifier, quot
 from tallyfold.operators.catalog import catalog_issues, table_presence, without_generated_owners
 from tallyfold.operators.ddl import ddl_lines
 from tallyfold.operators.diagram import diagram_lines
-from tallyfold.operators.keys import foreign_key_columns, primary_key_columns, single_unique_columns
+from tallyfold.operators.keys import catalogued_foreign_keys, foreign_key_columns, primary_key_columns, single_unique_columns
 from tallyfold.operators.reconcile import last_per_key
 from tallyfold.operators.snapshot import snapshot_diff
-from tallyfold.plans.tables import table
+from tallyfold.plans.tables import COLUMNS, table
 from tallyfold.schemas import CATALOG_HEADER
 from tallyfold.session import scratch_path, written
-from tallyfold.sinks.csv_files import catalog_rows, write_csv
+from tallyfold.sinks.csv_files import catalog_rows, write_catalogs, write_csv
+from tallyfold.sinks.tables import read_rows, remove_old_versions, replace_catalog, replace_rows
 from tallyfold.sources.catalogs import documented_columns, read_catalog, table_definitions, typed_catalog
+from tallyfold.sources.storage import list_tree, parquet_columns
 from tallyfold.sources.metadata import SYSTEM_SCHEMAS, described_columns, user_tables
 
 TEST_SCHEMA = "test00000000000000000000"
@@ -192,6 +194,60 @@ def metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lateral_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The foreign keys of ``metadata_keys`` from the system catalog's form: column numbers in arrays, names elsewhere."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("ref_relation"))
+    numbers = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("numbers"))
+    own = orders.join(first, "o_custkey").select(F.col("o_orderkey").alias("relation"), "ref_relation").join(numbers.withColumnRenamed("l_orderkey", "relation"), "relation")
+    both = own.join(numbers.select(F.col("l_orderkey").alias("ref_relation"), F.col("numbers").alias("others")), "ref_relation")
+    shared = F.array_intersect("numbers", "others")
+    constraints = both.select(F.concat(F.lit("fk_"), F.col("relation")).alias("name"), F.lit("f").alias("kind"), "relation", "ref_relation", shared.alias("numbers"), shared.alias("ref_numbers"))
+    relations = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order_"), F.col("o_orderkey")).alias("name"), F.lit(1).alias("namespace"))
+    namespaces = spark.createDataFrame([(1, "sales")], "id int, name string")
+    attributes = lines.select(F.col("l_orderkey").alias("relation"), F.col("l_linenumber").alias("number"), F.concat(F.lit("c"), F.col("l_linenumber")).alias("name"))
+    return catalogued_foreign_keys(constraints, relations, namespaces, attributes).drop("schema", "name", "ref_schema")
+
+
+def catalog_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog files with three headers: the whole one, one in another order, one that lacks columns."""
+    tokens, path = catalog_tokens(spark, sf_dir), scratch_path(spark, "headers")
+    kind = F.length("Table") % 3
+    for i, header in enumerate((CATALOG_HEADER, CATALOG_HEADER[::-1], CATALOG_HEADER[:-2])):
+        write_csv(tokens.where(kind == i).select(*[f"`{c}`" for c in header]), f"{path}/part{i}")
+    return typed_catalog(read_catalog(spark, [f"{path}/part{i}" for i in range(3)]))
+
+
+def catalog_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as columns of a table for each nation: catalog files per table, loaded in place of an older version."""
+    path, target = scratch_path(spark, "catalogs"), scratch_path(spark, "catalog")
+    customers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("meta.nation__"), F.col("c_nationkey")).alias("table"),
+        F.col("c_name").alias("column"),
+        F.col("c_custkey").cast("long").alias("order"),
+        F.col("c_mktsegment").alias("type"),
+        (F.col("c_acctbal") > 5000).alias("nullable"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") > 9000).alias("primary_key"),
+        F.when(F.col("c_acctbal") < 0, F.concat(F.lit("meta.nation__"), F.col("c_nationkey"), F.lit(".ID"))).alias("foreign_key"),
+        F.concat(F.lit('of "'), F.col("c_mktsegment"), F.lit('",\nthat is all')).alias("description"),
+        F.lit(None).cast("string").alias("sample_values"),
+    )
+    replace_rows(customers.withColumn("file", F.lit("old")), target)
+    write_catalogs(customers, path)
+    replace_catalog(spark, [path, f"{path}/absent"], target, file_name=None)
+    remove_old_versions(spark, target)
+    return read_rows(spark, target).drop("file")
+
+
+def footer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of all given files as their footers tell, with the rows and NULL values of plain ones."""
+    files = list_tree(spark, [sf_dir]).where(F.col("name").endswith(".parquet"))
+    name = F.regexp_extract("file", r"/([a-z]+)\.parquet(/[^/]*)?$", 1)
+    found = parquet_columns(files).groupBy(name.alias("table"), "column", "order")
+    return found.agg(F.min("type").alias("type"), F.count_distinct("type").alias("types"), F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls")).where(F.col("table") != "")
+
+
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens to CSV files and back through the header-bound reader."""
     path = scratch_path(spark, "catalog")
@@ -394,9 +450,22 @@ lines AS (
     FROM rel WHERE ref_entity IN (SELECT entity FROM ents))
 SELECT section, schema_rank, name, part, CAST(position AS BIGINT) AS position, text FROM lines""".replace("{{", "{").replace("}}", "}")
 
+# Arrow's names of the types in the files, as DuckDB calls them.
+_ARROW = "CASE data_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'list<element: float>' WHEN 'TIMESTAMP' THEN 'timestamp[us]' WHEN 'DATE' THEN 'date32[day]' ELSE data_type END"
+_FOOTER_SQL = "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS "table", '{column}' AS "column", {order} AS "order", {_ARROW.replace("data_type", f"(SELECT any_value(typeof({column})) FROM {name})")} AS type,
+      1::BIGINT AS types, count(*)::BIGINT AS rows, {"NULL::BIGINT" if column == "embedding" else f"(count(*) - count({column}))::BIGINT"} AS nulls FROM {name}"""
+    for name, columns in COLUMNS.items()
+    for order, column in enumerate(columns.split(), start=1)
+)
+
 QUERIES = {
     "metadata_columns": metadata_columns,
     "metadata_keys": metadata_keys,
+    "lateral_keys": lateral_keys,
+    "catalog_headers": catalog_headers,
+    "catalog_replace": catalog_replace,
+    "footer_columns": footer_columns,
     "catalog_scan": catalog_scan,
     "catalog_export": catalog_export,
     "catalog_reconcile": catalog_reconcile,
@@ -418,6 +487,16 @@ ORACLE = {
         UNION ALL SELECT 'UNIQUE', 'order_' || o, 'c' || min(n), NULL, NULL, NULL FROM l GROUP BY o HAVING count(*) = 1
         UNION ALL SELECT 'FOREIGN KEY', 'order_' || l.o, 'c' || l.n, l.n, 'order_' || f.r, 'c' || p.n
           FROM l JOIN f ON l.o = f.o JOIN l AS p ON p.o = f.r AND p.n = l.n""",
+    "lateral_keys": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem),
+        f AS (SELECT o_orderkey AS o, min(o_orderkey) OVER (PARTITION BY o_custkey) AS r FROM orders)
+        SELECT 'order_' || l.o AS "table", 'c' || l.n AS "column", (row_number() OVER (PARTITION BY l.o ORDER BY l.n))::INTEGER AS position,
+          'order_' || f.r AS ref_table, 'c' || p.n AS ref_column FROM l JOIN f ON l.o = f.o JOIN l AS p ON p.o = f.r AND p.n = l.n""",
+    "catalog_headers": f"""{_CATALOG_SQL} SELECT * EXCLUDE (lacks) REPLACE (CASE WHEN lacks THEN NULL ELSE description END AS description,
+        CASE WHEN lacks THEN NULL ELSE sample_values END AS sample_values) FROM (SELECT *, length("table") % 3 = 2 AS lacks FROM typed)""",
+    "catalog_replace": """SELECT 'meta.nation__' || c_nationkey AS "table", c_name AS "column", c_custkey AS "order", c_mktsegment AS type, c_acctbal > 5000 AS nullable,
+        CASE WHEN c_acctbal > 0 THEN c_acctbal > 9000 END AS primary_key, CASE WHEN c_acctbal < 0 THEN 'meta.nation__' || c_nationkey || '.ID' END AS foreign_key,
+        'of "' || c_mktsegment || '",' || chr(10) || 'that is all' AS description, NULL::VARCHAR AS sample_values FROM customer""",
+    "footer_columns": _FOOTER_SQL,
     "catalog_scan": f"{_CATALOG_SQL} SELECT * FROM typed",
     "catalog_export": f"""{_CATALOG_SQL} SELECT "table" AS "Table", coalesce("column", 'NULL') AS "Column", CAST("order" AS VARCHAR) AS "Order",
         type AS "Type", CASE nullable WHEN true THEN 'TRUE' WHEN false THEN 'FALSE' ELSE '' END AS "Nullable?",

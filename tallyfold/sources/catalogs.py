@@ -13,13 +13,13 @@ from tallyfold.schemas import CATALOG_HEADER
 from tallyfold.sources.csv_files import read_by_header
 
 
-def read_catalog(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
-    """Raw tokens of catalog files, columns bound by header name."""
-    return read_by_header(spark, paths, CATALOG_HEADER, multi_line=multi_line)
+def read_catalog(spark: SparkSession, paths: str | list[str], multi_line: bool = True, file: str | None = None) -> DataFrame:
+    """Raw tokens of catalog files, columns bound by the header of each file."""
+    return read_by_header(spark, paths, CATALOG_HEADER, multi_line=multi_line, file=file)
 
 
-def typed_catalog(raw: DataFrame) -> DataFrame:
-    """CATALOG rows from raw tokens; rows about the table itself have order 0 and no column."""
+def typed_catalog(raw: DataFrame, *kept: str) -> DataFrame:
+    """CATALOG rows from raw tokens, with the columns ``kept``; rows about the table itself have order 0 and no column."""
     c = {name: F.col(f"`{name}`") for name in CATALOG_HEADER}
     return raw.select(
         c["Table"].alias("table"),
@@ -31,6 +31,7 @@ def typed_catalog(raw: DataFrame) -> DataFrame:
         empty_to_null(strip(c["Foreign Key"])).alias("foreign_key"),
         empty_to_null(c["Description"]).alias("description"),
         empty_to_null(c["Sample Values"]).alias("sample_values"),
+        *kept,
     )
 
 

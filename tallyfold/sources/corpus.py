@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.components import file_name_of, folder_of
 from tallyfold.functions.text import unix_newlines
+from tallyfold.sources.storage import exists, list_tree, plain_path
+
+#: Bytes of a file that is read as one text.
+LARGEST = 1 << 28
 
 
 def corpus_from_table(df: DataFrame, path: Column, content: Column) -> DataFrame:
@@ -16,16 +20,33 @@ def corpus_from_table(df: DataFrame, path: Column, content: Column) -> DataFrame
     )
 
 
-def read_corpus(spark: SparkSession, paths: list[str], root: str = "", skip_unreadable: bool = False) -> DataFrame:
-    """One CORPUS row per file, paths relative to ``root``; unreadable files are skipped if asked."""
-    reader = spark.read.format("text").options(
-        wholetext=True,
-        recursiveFileLookup=True,
-        ignoreMissingFiles=skip_unreadable,
-        ignoreCorruptFiles=skip_unreadable,
+def read_corpus(spark: SparkSession, roots: list[str], root: str = "", largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
+    """The texts below ``roots``, and the files that gave none: CORPUS rows with paths relative to ``root``, and ``(path, reason)``.
+
+    A file is a text if it can be read, holds valid UTF-8 and no more than ``largest`` bytes. Every file that is listed is in one of the two
+    results. Roots that do not exist hold nothing. Files whose names are hidden from Spark's readers are not read, and reported as such.
+    """
+    listed = list_tree(spark, roots).select("path", "size", "name")
+    present = [r for r in roots if exists(r)]
+    options = {"recursiveFileLookup": True, "ignoreMissingFiles": True, "ignoreCorruptFiles": True}
+    if present:
+        read = spark.read.format("binaryFile").options(**options).load(present).where(F.col("length") <= largest)
+        read = read.select(plain_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("content"))
+    else:
+        read = spark.createDataFrame([], "path string, content string")
+    read = read.withColumn("valid", F.is_valid_utf8("content"))
+    seen = read.select(F.col("path").alias("seen"), "valid")
+    state = listed.withColumn("path", plain_path(F.col("path"))).join(seen, F.col("path") == F.col("seen"), "left")
+    hidden = F.col("name").startswith(".") | F.col("name").startswith("_")
+    reason = (
+        F.when(F.col("valid"), None)
+        .when(~F.col("valid"), "not valid UTF-8")
+        .when(F.col("size") > largest, "too large")
+        .when(hidden, "hidden")
+        .otherwise("not readable")
     )
-    files = reader.load(paths).select("value", F.url_decode("_metadata.file_path").alias("path"))
-    top = root.rstrip("/") + "/"
-    at = F.instr("path", top) if root else F.lit(0)
-    relative = F.when(at > 0, F.substr(F.col("path"), at + len(top))).otherwise(F.col("path"))
-    return corpus_from_table(files, relative, F.col("value"))
+    failed = state.select("path", reason.alias("reason")).where("reason is not null")
+    top = plain_path(F.lit(root.rstrip("/") + "/")) if root else F.lit("")
+    relative = F.when(F.startswith("path", top), F.substr("path", F.length(top) + 1)).otherwise(F.col("path"))
+    texts = read.where("valid").select(relative.alias("path"), "content")
+    return corpus_from_table(texts, F.col("path"), F.col("content")), failed.select(relative.alias("path"), "reason")

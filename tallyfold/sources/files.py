@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.components import file_name_of
+from tallyfold.sources.storage import list_tree
 
 # Bookkeeping files that are no content, and name patterns that are no components.
 SYSTEM_FILES = (".objects", ".buckets", ".DS_Store")
@@ -14,20 +15,8 @@ NOT_COMPONENT_FOLDERS = ("utils", "providers")
 
 
 def list_files(spark: SparkSession, roots: list[str], name: str | None = None) -> DataFrame:
-    """``(path, size)`` of all files below the roots that exist, optionally of one file name.
-
-    Only the listing is read, never the bytes. As everywhere in Spark, folders and files whose name
-    starts with ``_`` or ``.`` are skipped; inventories that need them come from a table of paths.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    paths = [jvm.org.apache.hadoop.fs.Path(root) for root in roots]
-    present = [root for root, path in zip(roots, paths) if path.getFileSystem(conf).exists(path)]
-    if not present:
-        return spark.createDataFrame([], "path string, size long")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if name is not None:
-        reader = reader.option("pathGlobFilter", name)
-    return reader.load(present).select("path", F.col("length").alias("size"))
+    """``(path, size)`` of all files below the roots that exist, optionally of one file name. Only the listing is read, never the bytes."""
+    return list_tree(spark, roots, name).select("path", "size")
 
 
 def named(files: DataFrame, name: str, without: str | None = None) -> DataFrame:

@@ -93,8 +93,8 @@ def test_gaps(spark, rows):
 
 def test_generation_summary(spark, rows):
     e = entries(spark, ("f", "en", "hello", "H"), ("g", "en", "x", "X"), ("g", "es", "x", "X"))
-    assert rows(generation_summary(e, every=True)) == [("success", "Updated 45 languages across 2 files", 2, 45)]
-    assert rows(generation_summary(e, "g", targets=("es",))) == [("success", "Updated 0 languages across 1 files", 1, 0)]
+    assert rows(generation_summary(e, every=True)) == [("success", "45 languages had gaps in a run over 2 files", 2, 45)]
+    assert rows(generation_summary(e, "g", targets=("es",))) == [("success", "0 languages had gaps in a run over 1 files", 1, 0)]
     assert [r[0] for r in rows(generation_summary(e), "status")] == ["error"]
     assert [r[0] for r in rows(generation_summary(e, "f", every=True), "status")] == ["error"]
 

@@ -11,8 +11,9 @@ from tallyfold.operators.diagram import LINE_ORDER, diagram_lines
 from tallyfold.operators.keys import paired_key_columns, single_unique_columns
 from tallyfold.schemas import CATALOG, CATALOG_HEADER
 from tallyfold.sinks.csv_files import write_catalogs
-from tallyfold.sinks.tables import replace_catalog
+from tallyfold.sinks.tables import read_rows, replace_catalog
 from tallyfold.sources.catalogs import documented_columns, read_catalog, table_definitions, typed_catalog
+from tallyfold.sources.csv_files import read_by_header
 from tallyfold.sources.metadata import columns_of, described_columns, user_tables
 
 COLUMNS = "table string, column string, order long, type string, nullable boolean, primary_key boolean, foreign_key string"
@@ -83,8 +84,33 @@ def test_catalog_files_round_trip(spark, rows, tmp_path):
     back = typed_catalog(read_catalog(spark, str(tmp_path / "c" / "table_name=meta.a")))
     expected = [tuple("" if i == 3 and v is None else v for i, v in enumerate(r)) for r in catalog[:2]]
     assert rows(back) == sorted(expected, key=lambda t: tuple((x is not None, x) for x in t))
-    assert replace_catalog(None, str(tmp_path / "t")) == 0
-    assert replace_catalog(back, str(tmp_path / "t")) == 2 and replace_catalog(back.limit(1), str(tmp_path / "t")) == 1
+
+
+def test_catalog_is_replaced_by_all_files(spark, rows, tmp_path):
+    target, head = str(tmp_path / "t"), "Table,Column,Order,Type,Nullable?,Primary Key?,Foreign Key,Description,Sample Values\n"
+    for schema in ("meta", ".hidden"):
+        (tmp_path / "docs" / schema).mkdir(parents=True)
+    assert replace_catalog(spark, [str(tmp_path / "docs"), str(tmp_path / "none")], target) is None
+    (tmp_path / "docs" / "meta" / "catalog.csv").write_text(head + "meta.a,x,1,TEXT,TRUE,,,,\n")
+    (tmp_path / "docs" / ".hidden" / "catalog.csv").write_text("Order,Table,Type\n2,meta.b,INTEGER\n3,meta.b,TEXT\n")
+    assert replace_catalog(spark, [str(tmp_path / "docs")], target) == 3
+    assert rows(read_rows(spark, target), "table", "order", "nullable") == [("meta.a", 1, True), ("meta.b", 2, None), ("meta.b", 3, None)]
+    for file in ("meta", ".hidden"):
+        (tmp_path / "docs" / file / "catalog.csv").write_text(head)
+    assert replace_catalog(spark, [str(tmp_path / "docs")], target) == 0
+    assert rows(read_rows(spark, target)) == []
+
+
+def test_headers_that_differ(spark, rows, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "x.csv").write_text('A,B\n1,2\n"3\n4",5\n6\n')
+    (folder / "y.csv").write_text("B,C,A,A\n1,2,3,9,8\n")
+    (folder / "z.csv").write_text('"C\nD",B\nq,\n')
+    (folder / "empty.csv").write_text("")
+    got = read_by_header(spark, str(folder), ["A", "B", "C"], "-", file="f")
+    assert rows(got, "A", "B", "C") == [("-", "", "-"), ("1", "2", "-"), ("3\n4", "5", "-"), ("6", "", "-"), ("9", "1", "2")]
+    assert {r[0].rsplit("/", 1)[-1] for r in rows(got, "f")} == {"x.csv", "y.csv", "z.csv"}
 
 
 def test_missing_header_columns_are_empty(spark, rows, tmp_path):

@@ -16,7 +16,7 @@ from tallyfold.operators.constraints import (
     orphans,
 )
 from tallyfold.sinks.csv_files import write_csv
-from tallyfold.sinks.tables import replace_rows
+from tallyfold.sinks.tables import read_rows, remove_old_versions, replace_rows
 from tallyfold.sources.csv_files import load_strict
 from tallyfold.sources.sql import run_sql
 
@@ -44,7 +44,13 @@ def test_failed_load_keeps_old_rows(spark, rows, tmp_path):
     (tmp_path / "seed.csv").write_text("Name\nx\n")
     with pytest.raises(Py4JJavaError, match="MALFORMED"):
         replace_rows(load_strict(spark, str(tmp_path / "seed.csv"), "Name string, Required string"), str(tmp_path / "t"))
-    assert rows(spark.read.parquet(str(tmp_path / "t"))) == [("a", "b")]
+    assert rows(read_rows(spark, str(tmp_path / "t"))) == [("a", "b")]
+    # A table may be replaced by its own rows; what failed or is old can go.
+    assert replace_rows(read_rows(spark, str(tmp_path / "t")).unionAll(old), str(tmp_path / "t")) == 2
+    assert remove_old_versions(spark, str(tmp_path / "t")) == 2
+    assert rows(read_rows(spark, str(tmp_path / "t"))) == [("a", "b"), ("a", "b")]
+    with pytest.raises(FileNotFoundError):
+        read_rows(spark, str(tmp_path / "u"))
 
 
 @pytest.mark.parametrize("keep_empty", [True, False])
