@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.identifiers import schema_part
 from tallyfold.functions.types import same_type
 from tallyfold.operators.reconcile import Rule, broken_rules, issue, presence, tagged
+from tallyfold.operators.summary import observed, summary_row
 from tallyfold.session import written
 
 # The schemas that are checked, and the spelling of generated owner schemas.
@@ -99,8 +100,24 @@ def catalog_issues(metadata: DataFrame, documented: DataFrame, tie_order: list[s
 
     Both inputs, as for :func:`catalog_sides`, are read once: tables and columns are then judged by what that wrote.
     """
-    sides, _ = written(catalog_sides(metadata, documented, tie_order), "sides")
-    tables = sides.groupBy("table").agg(F.bool_or(F.col("l").isNotNull()).alias("in_left"), F.bool_or(F.col("r").isNotNull()).alias("in_right"))
+    return _issues_of(written(catalog_sides(metadata, documented, tie_order), "sides")[0])
+
+
+def catalog_report(metadata: DataFrame, documented: DataFrame, tie_order: list[str] | None = None) -> DataFrame:
+    """One row on the whole comparison: status, valid, message, total_issues, tables_checked, columns_checked (those that both sides have)."""
+    both = F.col("l").isNotNull() & F.col("r").isNotNull()
+    sides, seen = observed(catalog_sides(metadata, documented, tie_order), "sides", columns=F.count_if(both))
+    tables, known = observed(_tables_of(sides), "tables", common=F.count_if(F.col("in_left") & F.col("in_right")))
+    _, found = observed(_issues_of(sides, tables).select("type"), "issues", total=F.count(F.lit(1)))
+    return summary_row(metadata.sparkSession, "catalog", found["total"], {"tables_checked": known["common"], "columns_checked": seen["columns"]})
+
+
+def _tables_of(sides: DataFrame) -> DataFrame:
+    return sides.groupBy("table").agg(F.bool_or(F.col("l").isNotNull()).alias("in_left"), F.bool_or(F.col("r").isNotNull()).alias("in_right"))
+
+
+def _issues_of(sides: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    tables = _tables_of(sides) if tables is None else tables
     name = F.col("table")
     lacking = F.when(
         ~F.col("in_right"), issue("missing_table", table=name, message=F.concat(F.lit("The catalog says nothing about table "), name))

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.summary import observed
 from tallyfold.sources.files import is_system_file
 
 
@@ -52,6 +53,26 @@ def mirror_counts(diff: DataFrame) -> DataFrame:
     )
 
 
+def mirror_totals(diff: DataFrame, visited: DataFrame) -> DataFrame:
+    """``(bucket, downloaded, deleted)`` for each visited bucket, with or without objects, and for all of them (bucket NULL), by one aggregate."""
+    steps = diff.select("bucket", F.when(F.col("action") == "download", 1).otherwise(0).alias("down"), F.when(F.col("action") == "delete", 1).otherwise(0).alias("gone"))
+    every = steps.unionByName(visited.select("bucket", F.lit(0).alias("down"), F.lit(0).alias("gone")))
+    return every.rollup("bucket").agg(F.sum("down").alias("downloaded"), F.sum("gone").alias("deleted"))
+
+
+def mirror_run(
+    remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None = None, existing: DataFrame | None = None
+) -> DataFrame:
+    """One row ``(status, message, buckets, downloaded, deleted, kept)`` of a whole run, counted while its steps are written."""
+    names = list(buckets) if buckets is not None else None
+    visited = chosen_buckets(remote if existing is None else existing, names).select("bucket").distinct().count()
+    counters = {step: F.count_if(F.col("action") == action) for step, action in (("downloaded", "download"), ("deleted", "delete"), ("kept", "keep"))}
+    _, seen = observed(mirror_diff(remote, local, names, existing), "mirror", **counters)
+    said = f"{visited} buckets mirrored: {seen['downloaded']} objects fetched, {seen['deleted']} removed"
+    row = ("success", said, visited, seen["downloaded"], seen["deleted"], seen["kept"])
+    return remote.sparkSession.createDataFrame([row], "status string, message string, buckets long, downloaded long, deleted long, kept long")
+
+
 def mirror_apply(
     remote: DataFrame, local: DataFrame, buckets: Iterable[str] | None = None, existing: DataFrame | None = None
 ) -> DataFrame:

@@ -6,7 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.components import folder_of
-from tallyfold.operators.mirror import bucket_list, content_type, manifest, mirror_apply, mirror_counts, mirror_diff
+from tallyfold.operators.mirror import (
+    bucket_list,
+    chosen_buckets,
+    content_type,
+    manifest,
+    mirror_apply,
+    mirror_counts,
+    mirror_diff,
+    mirror_run,
+    mirror_totals,
+)
 from tallyfold.plans.tables import table
 from tallyfold.session import scratch_path
 from tallyfold.sinks.csv_files import write_csv
@@ -51,6 +61,21 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror_counts(mirror_diff(*_sides(spark, sf_dir), BUCKETS))
 
 
+def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets that exist: those of all events, and one without objects."""
+    named = table(spark, sf_dir, "events").select(F.col("event_type").alias("bucket"))
+    return named.unionByName(spark.createDataFrame([("absent",)], "bucket string")).distinct()
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = _existing(spark, sf_dir)
+    return mirror_totals(mirror_diff(*_sides(spark, sf_dir), BUCKETS, existing), chosen_buckets(existing, BUCKETS))
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror_run(*_sides(spark, sf_dir), BUCKETS, _existing(spark, sf_dir))
+
+
 def apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror_apply(*_sides(spark, sf_dir), BUCKETS)
 
@@ -207,6 +232,8 @@ _FILES = f"""files AS (
 QUERIES = {
     "mirror_diff": diff,
     "mirror_counts": counts,
+    "mirror_totals": totals,
+    "mirror_run": run,
     "mirror_apply": apply,
     "manifest": manifests,
     "content_type": content_types,
@@ -224,6 +251,14 @@ ORACLE = {
     "mirror_diff": f"WITH {_EVENTS} SELECT * FROM d WHERE action <> 'system'",
     "mirror_counts": f"""WITH {_EVENTS} SELECT bucket, count(*) FILTER (WHERE action = 'download') AS downloaded,
         count(*) FILTER (WHERE action = 'delete') AS deleted FROM d WHERE bucket IN {_SOME} AND action <> 'system' GROUP BY bucket""",
+    "mirror_totals": f"""WITH {_EVENTS}, v AS (SELECT * FROM d WHERE bucket IN {_SOME} AND action <> 'system'),
+        c AS (SELECT b.bucket, count(*) FILTER (WHERE action = 'download') AS downloaded, count(*) FILTER (WHERE action = 'delete') AS deleted
+          FROM (SELECT DISTINCT event_type AS bucket FROM events WHERE event_type IN {_SOME} UNION ALL SELECT 'absent') AS b LEFT JOIN v USING (bucket) GROUP BY b.bucket)
+        SELECT bucket, downloaded, deleted FROM c UNION ALL SELECT NULL, sum(downloaded)::BIGINT, sum(deleted)::BIGINT FROM c""",
+    "mirror_run": f"""WITH {_EVENTS}, v AS (SELECT * FROM d WHERE bucket IN {_SOME}),
+        n AS (SELECT (SELECT count(DISTINCT event_type) + 1 FROM events WHERE event_type IN {_SOME}) AS buckets, count(*) FILTER (WHERE action = 'download') AS downloaded,
+          count(*) FILTER (WHERE action = 'delete') AS deleted, count(*) FILTER (WHERE action = 'keep') AS kept FROM v)
+        SELECT 'success' AS status, buckets || ' buckets mirrored: ' || downloaded || ' objects fetched, ' || deleted || ' removed' AS message, * FROM n""",
     "mirror_apply": f"""WITH {_EVENTS} SELECT bucket, key, size FROM side WHERE recent AND bucket IN {_SOME}
         UNION ALL SELECT bucket, key, size FROM side WHERE NOT recent AND (bucket NOT IN {_SOME} OR key LIKE '%/.objects')""",
     "manifest": f"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+') AS bucket, string_split(rtrim({_PATH}, '/'), '/') AS parts FROM pages)

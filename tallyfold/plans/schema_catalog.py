@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.identifiers import diagram_name, quote_identifier, quote_qualified, table_path
-from tallyfold.operators.catalog import catalog_issues, table_presence, without_generated_owners
+from tallyfold.operators.catalog import catalog_issues, catalog_report, table_presence, without_generated_owners
 from tallyfold.operators.ddl import ddl_lines
 from tallyfold.operators.diagram import diagram_lines
 from tallyfold.operators.keys import catalogued_foreign_keys, foreign_key_columns, primary_key_columns, single_unique_columns
@@ -137,12 +137,21 @@ def documentation(spark: SparkSession, sf_dir: str, columns: DataFrame) -> DataF
     return documented_columns(without_generated_owners(files.withColumn("type", F.when(F.col("file_rank") == 2, "TEXT").otherwise(F.col("type")))))
 
 
-def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema as it was before December against a documentation that begins in February."""
+def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The schema as it was before December, a documentation that begins in February, and the order of its rows."""
     columns, _ = written(raw_columns(spark, sf_dir), "columns")
     actual = actual_metadata(spark, sf_dir, columns.where(_month() < 12)).where(~F.col("schema").isin(*SYSTEM_SCHEMAS, GENERATED_SCHEMA))
     actual = actual.withColumn("table", F.concat_ws(".", *TABLE))
-    return catalog_issues(actual, documentation(spark, sf_dir, columns.where(_month() > 1)), ["file_rank", "order"])
+    return actual, documentation(spark, sf_dir, columns.where(_month() > 1)), ["file_rank", "order"]
+
+
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_issues(*_two_sides(spark, sf_dir))
+
+
+def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole comparison in one row."""
+    return catalog_report(*_two_sides(spark, sf_dir))
 
 
 def metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,6 +479,7 @@ QUERIES = {
     "catalog_export": catalog_export,
     "catalog_reconcile": catalog_reconcile,
     "catalog_messages": catalog_messages,
+    "catalog_summary": catalog_summary,
     "catalog_tables": catalog_tables,
     "snapshot_diff": snapshot,
     "identifier_exprs": identifier_exprs,
@@ -512,6 +522,8 @@ ORACLE = {
         WHEN 'foreign_key_missing_in_catalog' THEN 'Column ' || tab || '.' || col || ' refers to ' || x || ', the catalog names no target'
         ELSE replace(replace(type, '_mismatch', ''), '_', ' ') || ' of ' || tab || '.' || col || ' is ' || x || ' in the database and ' || y || ' in the catalog'
         END AS message FROM found""",
+    "catalog_summary": f"""WITH {_ISSUES}, n AS (SELECT (SELECT count(*) FROM found) AS total_issues, (SELECT count(*) FROM common) AS tables_checked, (SELECT count(*) FROM j) AS columns_checked)
+        SELECT 'validation_errors' AS status, false AS valid, 'catalog: ' || total_issues || ' issues in ' || tables_checked || ' tables, ' || columns_checked || ' columns' AS message, * FROM n""",
     "catalog_tables": f"""WITH {_RAW}, a AS (SELECT DISTINCT schema_name, table_name FROM raw WHERE mon < 12 AND schema_name <> 'pg_catalog'),
         d AS (SELECT DISTINCT schema_name, table_name FROM raw WHERE mon > 1 AND schema_name <> 'pg_catalog')
         SELECT (SELECT count(*) FROM a) AS db_tables, (SELECT count(*) FROM d) AS catalog_tables,

@@ -149,14 +149,16 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of a whole translation check: files, components, orphans and the global bundle."""
     bundles, keys = site_bundles(spark, sf_dir)
-    scanned = _scanned(spark, sf_dir)
+    scanned, components_checked = written(ops.scanned_components(site_corpus(spark, sf_dir)), "scanned")
+    bundles, folders_checked = written(bundles, "bundles")
     orphans = ops.orphan_bundles(scanned, bundles, site_corpus(spark, sf_dir).select("path", "dir"))
     components = (
         ops.component_issues(scanned, bundles)
         .unionByName(ops.missing_keys(scanned, bundles, keys))
         .unionByName(issues(orphans, "orphaned_translation_folder", file=F.col("dir")))
     )
-    return translation_summary(bundle_sets.document_issues(spark, sf_dir), components, _seed_names(spark, sf_dir))
+    checked = {"components_checked": components_checked, "folders_checked": folders_checked}
+    return translation_summary(bundle_sets.document_issues(spark, sf_dir), components, _seed_names(spark, sf_dir), **checked)
 
 
 _SITE = r"""p AS (SELECT page_id, url, html, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang,
@@ -255,6 +257,8 @@ ORACLE = {
         FROM i GROUP BY source, type""",
     "translation_summary": f"""WITH n AS (SELECT (SELECT count(*) FROM ({bundle_sets.ORACLE["bundle_file_issues"]})) AS f,
           (SELECT count(*) FROM ({_COMPONENTS_SQL})) + (SELECT count(*) FROM (WITH {_SITE} {_MISSING_SQL})) + (SELECT count(*) FROM (WITH {_SITE} {_ORPHANS_SQL})) AS c,
-          (SELECT count(*) FROM ({_GLOBAL_SQL})) AS g)
-        SELECT f + c + g AS total_issues, c AS component_issues, f AS file_issues, 'validation_errors' AS status FROM n""",
+          (SELECT count(*) FROM ({_GLOBAL_SQL})) AS g, (SELECT count(*) FROM (WITH {_SITE} SELECT * FROM scanned)) AS components_checked,
+          (SELECT count(*) FROM (WITH {_SITE} SELECT * FROM b)) AS folders_checked)
+        SELECT 'validation_errors' AS status, false AS valid, 'translations: ' || (f + c + g) || ' issues in ' || components_checked || ' components, ' || folders_checked || ' folders' AS message,
+          f + c + g AS total_issues, components_checked, folders_checked, c AS component_issues, f AS file_issues FROM n""",
 }

@@ -26,7 +26,8 @@ def read_corpus(spark: SparkSession, roots: list[str], root: str = "", largest:
     A file is a text if it can be read, holds valid UTF-8 and no more than ``largest`` bytes. Every file that is listed is in one of the two
     results. Roots that do not exist hold nothing. Files whose names are hidden from Spark's readers are not read, and reported as such.
     """
-    listed = list_tree(spark, roots).select("path", "size", "name")
+    listed = list_tree(spark, roots).select(plain_path(F.col("path")).alias("path"), "size", "name")
+    hidden = F.col("name").startswith(".") | F.col("name").startswith("_")
     present = [r for r in roots if exists(r)]
     options = {"recursiveFileLookup": True, "ignoreMissingFiles": True, "ignoreCorruptFiles": True}
     if present:
@@ -34,10 +35,11 @@ def read_corpus(spark: SparkSession, roots: list[str], root: str = "", largest:
         read = read.select(plain_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("content"))
     else:
         read = spark.createDataFrame([], "path string, content string")
-    read = read.withColumn("valid", F.is_valid_utf8("content"))
+    # Spark reads no split of an empty file.
+    empty = listed.where((F.col("size") == 0) & ~hidden).select("path", F.lit("").alias("content"))
+    read = read.where("content <> ''").unionByName(empty).withColumn("valid", F.is_valid_utf8("content"))
     seen = read.select(F.col("path").alias("seen"), "valid")
-    state = listed.withColumn("path", plain_path(F.col("path"))).join(seen, F.col("path") == F.col("seen"), "left")
-    hidden = F.col("name").startswith(".") | F.col("name").startswith("_")
+    state = listed.join(seen, F.col("path") == F.col("seen"), "left")
     reason = (
         F.when(F.col("valid"), None)
         .when(~F.col("valid"), "not valid UTF-8")

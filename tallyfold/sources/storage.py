@@ -59,9 +59,11 @@ class _TreeReader(DataSourceReader):
             found.append(_Prefix(root, False))
             inside = system.get_file_info(pafs.FileSelector(path, recursive=False))
             found += [_Prefix(root.rstrip("/") + "/" + one.base_name, True) for one in inside if one.type == pafs.FileType.Directory]
-        return found
+        return found or [_Prefix("", False)]  # a source has at least one partition
 
     def read(self, partition: _Prefix) -> Iterator[tuple]:
+        if not partition.address:
+            return
         system, path = opened(partition.address)
         root = partition.address.rstrip("/")
         for one in system.get_file_info(pafs.FileSelector(path, recursive=partition.deep)):

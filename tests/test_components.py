@@ -125,4 +125,6 @@ def test_summaries(spark, rows):
     assert rows(counts) == [("one", "a", 2), ("one", "b", 1)]
     assert rows(run_summary(counts, ["one", "two"])) == [("one", "validation_errors", False, 3, 2), ("two", "success", True, 0, 0)]
     got = translation_summary(typed("missing_key"), typed("component_missing_key", "orphaned_translation_folder"), typed("global_translations_missing_key"))
-    assert rows(got) == [(4, 2, 1, "validation_errors")]
+    assert rows(got, "status", "message", "total_issues", "component_issues", "file_issues") == [("validation_errors", "translations: 4 issues", 4, 2, 1)]
+    clean = translation_summary(typed(), typed(), typed(), components_checked=3)
+    assert rows(clean, "status", "valid", "message", "components_checked") == [("success", True, "translations: no issues in 3 components", 3)]
