@@ -21,6 +21,11 @@ _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 #: Bytes of text that array code takes at a time.
 PART = 1 << 21
 
+#: Bits of a bitmap: 8 MB.
+BITS = 1 << 26
+#: Hashes that are broadcast at most.
+FEW = 1 << 20
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +67,63 @@ def text_hash(column: str = "text"):
     return F.md5(F.col(column))
 
 
+class Bitmap:
+    """A set of values of a column of which only bits are kept: it may hold a value too many, never one too few.
+
+    Its size is ``bits`` whatever the number of values, so it can be broadcast where a set of values cannot.
+    """
+
+    def __init__(self, rows: DataFrame, column: str, bits: int = BITS):
+        slot = F.pmod(F.xxhash64(column), F.lit(bits))
+        found = rows.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word"))
+        found = found.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
+        words = np.zeros(bits // 64, np.int64)
+        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        self.shared = rows.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def keep(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows whose ``column`` may be in the set."""
+        shared = self.shared
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hashes = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(has_bits(shared.value, hashes)))
+
+        named = rows.select("*", F.xxhash64(column).alias("bitmap_hash"))
+        return named.mapInArrow(kept, named.schema).drop("bitmap_hash")
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = BITS, few: int = FEW) -> DataFrame:
+    """The rows whose ``column`` is one of the ``keys``, and maybe some more: to be joined with them, without shuffling all rows.
+
+    Up to ``few`` hashes of keys are broadcast, 8 MB; beyond that a bitmap of them.
+    """
+    hashes = saved(keys.select(F.xxhash64(key).alias("key_hash")).distinct(), "key-hashes")
+    if hashes.count() > few:
+        return Bitmap(keys, key, bits).keep(rows, column)
+    return rows.join(F.broadcast(hashes), F.xxhash64(column) == F.col("key_hash"), "left_semi")
+
+
+def has_bits(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the values of these hashes (those of ``xxhash64``) may be in a bitmap."""
+    slot = (hashes.view(np.int64) % np.int64(len(words) * 64)).astype(np.uint64)
+    return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """What ``xxhash64`` gives for a column of longs: XXH64 of eight bytes with seed 42."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(values), np.uint64(42) + five + np.uint64(8))
+    k = values.view(np.uint64) * two
+    k = ((k << np.uint64(31)) | (k >> np.uint64(33))) * one
+    h ^= k
+    h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
 class Words:
     """The words of a column of texts (NULL: no words), as arrays over all its rows.
 

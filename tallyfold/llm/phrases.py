@@ -6,7 +6,7 @@ shuffled is a key, its count, the least and greatest of a second hash of the sam
 hash of such texts, so pointers gather in few texts). No word travels.
 
 A run that occurs ``LEAST`` times has parts that do, so runs are counted by length: words first, then the pairs of two frequent words, then the
-runs of three and four words of frequent pairs only. Which keys are frequent is told to the tasks by a bitmap of ``BITS`` bits, whatever
+runs of three and four words of frequent pairs only. Which keys are frequent is told to the tasks by a bitmap of fixed size, whatever
 the size of the corpus. Two keys may share a bit; then a run too many is counted, never one too few.
 
 Runs of equal key and unequal second hash collided: their texts are counted by themselves, by joining words instead of keys. The phrases of frequent
@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import MIX, Words, hash_words, mixed, parts, saved, table
+from tallyfold.llm.common import BITS, MIX, Bitmap, Words, among, has_bits, hash_words, mixed, parts, saved, spark_hash, table
 
 LONGEST = 4
 LEAST = 30
@@ -31,8 +31,9 @@ LEAST = 30
 INSIDE = 80
 TOP = 2000
 SCALE = 2_000_000
-BITS = 1 << 26
 NO_LANGUAGE = "und"
+#: Bytes of text whose words are held as arrays at a time.
+STRETCH = 1 << 20
 #: What ends a piece, and what stands between words.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
@@ -93,37 +94,11 @@ class Runs:
         return b" ".join(self.distinct[c] for c in self.codes[at : at + size].tolist())
 
 
-class Bitmap:
-    """A set of keys of which only bits are kept: it may hold a key too many, never one too few."""
-
-    def __init__(self, keys: DataFrame, column: str = "key", bits: int = BITS):
-        slot = F.pmod(F.xxhash64(column), F.lit(bits))
-        rows = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word"))
-        found = rows.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
-        words = np.zeros(bits // 64, np.int64)
-        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-        self.words = words.view(np.uint64)
-
-
-def spark_hash(keys: np.ndarray) -> np.ndarray:
-    """What ``xxhash64`` gives for a column of longs: XXH64 of eight bytes with seed 42."""
-    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = np.full(len(keys), np.uint64(42) + five + np.uint64(8))
-    k = keys * two
-    k = ((k << np.uint64(31)) | (k >> np.uint64(33))) * one
-    h ^= k
-    h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * one + four
-    h = (h ^ (h >> np.uint64(33))) * two
-    h = (h ^ (h >> np.uint64(29))) * three
-    return h ^ (h >> np.uint64(32))
+_COUNTED = "lang string, key long, n long, low long, high long, place long"
 
 
 def holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (spark_hash(keys).view(np.int64) % np.int64(len(bitmap) * 64)).astype(np.uint64)
-    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
-_COUNTED = "lang string, key long, n long, low long, high long, place long"
+    return has_bits(bitmap, spark_hash(keys))
 
 
 def _counts(size: int, frequent: Broadcast | None, width: int):
@@ -143,7 +118,7 @@ def _counts(size: int, frequent: Broadcast | None, width: int):
             yield at, n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", STRETCH):
             runs = Runs(batch.column("text"), batch.column("lang"), width)
             place = batch.column("place").to_numpy(zero_copy_only=False)[runs.words.rows()]
             out = [[np.empty(0, np.int64)] * 5]
@@ -170,7 +145,7 @@ def _counts(size: int, frequent: Broadcast | None, width: int):
 def _phrases_at(width: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with the keys that point at them: (key, lang, phrase)."""
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", STRETCH):
             runs = Runs(batch.column("text"), batch.column("lang"), width)
             asked = batch.column("keys")
             row_of, sought = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False)), asked.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -195,18 +170,10 @@ def _phrases_at(width: int):
     return read
 
 
-def _kept_places(bitmap: Broadcast):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(holds(bitmap.value, batch.column("place").to_numpy(zero_copy_only=False).view(np.uint64))))
-
-    return keep
-
-
 def _spelled(clashing: Broadcast, width: int):
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The runs of keys that may have collided, as text, and how often each occurs: (key, lang, phrase, n)."""
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", STRETCH):
             runs = Runs(batch.column("text"), batch.column("lang"), width)
             found: dict[tuple, int] = {}
             for size in range(1, LONGEST + 1):
@@ -230,8 +197,6 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, width: int = 64, bits:
 
     ``docs`` has text and lang; other columns do not matter. NULL texts are empty, a NULL language is ``und``. Repeated rows count each.
     """
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
     texts = docs.select("text", "lang", F.xxhash64("text").alias("place")).where("text is not null")
     frequent, totals, above = [], None, None
     for size in (1, 2, 3):
@@ -240,16 +205,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, width: int = 64, bits:
         if size == 1:
             totals = kept.where("lang is not null").select("lang", "n")
         frequent.append(kept.where("lang is null").drop("lang"))
-        above = share(Bitmap(frequent[-1], bits=bits).words)
+        above = Bitmap(frequent[-1], "key", bits).shared
     found = frequent[0].unionAll(frequent[1]).unionAll(frequent[2])
     single = found.where("low = high")
     pointed = saved(single.groupBy("place").agg(F.collect_list("key").alias("keys")), "pointed")
-    near = texts.mapInArrow(_kept_places(share(Bitmap(pointed, "place", bits).words)), "text string, lang string, place long")
+    near = among(texts, "place", pointed, "place", bits)
     named = near.join(pointed, "place").select("text", "lang", "keys").mapInArrow(_phrases_at(width), "key long, lang string, phrase string").distinct()
     out = named.join(single.select("key", F.col("n").alias("f")), "key").select("lang", "phrase", "f")
     clashes = found.where("low <> high")
     if not clashes.isEmpty():
-        spelled = texts.mapInArrow(_spelled(share(Bitmap(clashes, bits=bits).words), width), "key long, lang string, phrase string, n long")
+        spelled = texts.mapInArrow(_spelled(Bitmap(clashes, "key", bits).shared, width), "key long, lang string, phrase string, n long")
         out = out.unionAll(spelled.join(clashes.select("key"), "key", "left_semi").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
     return out.withColumn("size", (F.length("phrase") - F.length(F.replace(F.col("phrase"), F.lit(" "))) + 1).cast("int")), totals
 
