@@ -12,6 +12,10 @@ Equal texts are one class from the start. The members of a band are compared wit
 others. Where a band's members are then still in different components, all of them are compared within tasks, in blocks of ``CHUNK`` texts by
 products of sparse rows, and each gives one link at most. So every candidate pair is verified or connected, no list of pairs is made, and
 nothing is capped.
+
+Before any text moves, the samples themselves (16 bits of each) tell how alike two texts are: a pair of which fewer than ``AGREE`` of the 36 samples
+agree is at the threshold with a probability below 1e-7, and its texts are not fetched. A text that many are compared with is sent once for
+every ``CHUNK`` of them.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Words, components, grams, least_linked, mixed, saved, seeded, table, text_hash
+from tallyfold.llm.common import Words, among, components, grams, least_linked, mixed, parts, saved, seeded, table, text_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,6 +36,8 @@ BANDS, ROWS = 12, 3
 FEATURES = 1 << 17
 _DRAWS = 1 << 16
 CHUNK = 512
+#: Samples that agree in a pair whose texts are compared. At a similarity of 0.8, 14 or fewer of 36 agree with a probability of 6e-8.
+AGREE = 15
 ROUNDING = 1e-9
 
 
@@ -40,8 +46,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
-            words = Words(batch.column(0))
+        for batch in parts(batches, "text"):
+            words = Words(batch.column("text"))
             feature = (words.hashes() % np.uint64(FEATURES)).astype(np.int64)
             pairs = np.unique(words.rows() * FEATURES + feature)
             total += np.bincount(pairs % FEATURES, minlength=FEATURES)
@@ -119,22 +125,24 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _banded(idf_of):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(name, bands): none for a text without words."""
+        """(name, bands, samples): none for a text without words."""
         idf, sampler = idf_of.value, Sampler(BANDS * ROWS)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             words = Words(batch.column("text"))
             hashes, first = words.hashes(), words.first.tolist()
-            bands = []
+            bands, drawn = [], []
             for a, b in zip(first, first[1:], strict=False):
                 if a == b:
                     bands.append([])
+                    drawn.append([])
                     continue
                 samples = sampler(*weighted(hashes[a:b], idf)).reshape(BANDS, ROWS)
+                drawn.append(samples.ravel().astype(np.uint16).view(np.int16).tolist())
                 key = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for i in range(ROWS):
                     key = mixed(key ^ samples[:, i])
                 bands.append(key.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(bands, pa.list_(pa.int64()))], ["name", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(bands, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int16()))], ["name", "bands", "samples"])
 
     return sign
 
@@ -143,9 +151,7 @@ def _verified(idf_of, least: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of pairs of texts (a, text_a, b, text_b) those that are similar: (a, b)."""
         idf = idf_of.value
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in parts(parts(batches, "text_a"), "text_b"):
             known: dict[str, tuple] = {}
             kept = np.zeros(len(batch), bool)
             names = [batch.column(x).to_pylist() for x in ("a", "b")]
@@ -195,6 +201,33 @@ def all_similar(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: f
     return similar
 
 
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by unit (bucket, g, h), which may go on in the next batch: those whose samples agree with a text of another component."""
+    key, kept = None, []
+
+    def done() -> list[dict]:
+        samples, root = np.array([r["samples"] for r in kept], np.int16), np.unique([r["root"] for r in kept], return_inverse=True)[1]
+        agree = np.zeros((len(kept), len(kept)), np.uint8)
+        for s in samples.T:
+            agree += s[:, None] == s[None, :]
+        near = (agree >= AGREE) & (root[:, None] != root[None, :])
+        return [{c: r[c] for c in _UNIT.names} for r, x in zip(kept, near.any(axis=1).tolist(), strict=True) if x]
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            here = (row["bucket"], row["g"], row["h"])
+            if here != key:
+                if len(kept) > 1:
+                    yield pa.RecordBatch.from_pylist(done(), _UNIT)
+                key, kept = here, []
+            kept.append(row)
+    if len(kept) > 1:
+        yield pa.RecordBatch.from_pylist(done(), _UNIT)
+
+
+_UNIT = pa.schema([("bucket", pa.string()), ("g", pa.int32()), ("h", pa.int32()), ("chunk", pa.int32()), ("name", pa.string()), ("root", pa.string())])
+
+
 def _blocks(idf_of, least: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit (bucket, g, h), which may go on in the next batch: a link (a, b) for each text that has one."""
@@ -210,7 +243,7 @@ def _blocks(idf_of, least: float):
             at = np.flatnonzero(root != np.arange(len(root))).tolist()
             return pa.RecordBatch.from_arrays([pa.array([names[root[i]] for i in at], pa.string()), pa.array([names[i] for i in at], pa.string())], ["a", "b"])
 
-        for batch in batches:
+        for batch in parts(batches, "text"):
             words = Words(batch.column("text"))
             hashes, first = words.hashes(), words.first
             columns = [batch.column(c).to_pylist() for c in ("bucket", "g", "h", "name", "root", "chunk")]
@@ -235,23 +268,32 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(text_hash().alias("name"), "text").where("text is not null")
     idf_of = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(docs)))
-    signed = texts.mapInArrow(_banded(idf_of), "name string, bands array<long>").groupBy("name").agg(F.first("bands").alias("bands"))
+    signed = texts.mapInArrow(_banded(idf_of), "name string, bands array<long>, samples array<short>").groupBy("name").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     signed = saved(signed.where(F.size("bands") > 0), "signed")
     members = signed.select("name", F.posexplode("bands").alias("band", "key"))
     sizes = saved(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = saved(members.join(sizes, ["band", "key"]).select("band", "key", "name", "n"), "shared")
     involved = saved(shared.groupBy("name").agg(F.sum("n").alias("shares")), "involved")
-    # One row a text; copies are merged before and after the shuffle.
-    bodies = saved(texts.join(involved.select("name"), "name", "left_semi").groupBy("name").agg(F.first("text").alias("text")), "bodies")
     central = shared.join(involved, "name").groupBy("band", "key").agg(F.max(F.struct("shares", "name")).alias("top")).select("band", "key", F.col("top.name").alias("lead"))
-    pairs = saved(shared.join(saved(central, "central"), ["band", "key"]).where("name <> lead").select(F.col("lead").alias("a"), F.col("name").alias("b")).distinct(), "pairs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(bodies.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
-        full = left.join(bodies.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
-        return full.select("a", "text_a", "b", "text_b").mapInArrow(_verified(idf_of, least), "a string, b string")
-
-    links = saved(linked(pairs), "links")
+    met = shared.join(saved(central, "central"), ["band", "key"]).where("name <> lead").groupBy(F.col("lead").alias("a"), F.col("name").alias("b")).agg(F.max("n").alias("n"))
+    pairs = saved(met.select("a", "b", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")), "pairs")
+
+    def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+        """``pairs`` with the ``column`` of both texts. The row of a text that many are compared with is repeated for each chunk of them."""
+        leads = pairs.groupBy("a").agg(F.max("chunks").alias("chunks"))
+        each = rows.withColumnRenamed("name", "a").join(leads, "a").select("a", F.col(column).alias(f"{column}_a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        return pairs.join(rows.select(F.col("name").alias("b"), F.col(column).alias(f"{column}_b")), "b").join(each, ["a", "chunk"])
+
+    def bodies(names: DataFrame) -> DataFrame:
+        """(name, text), one row a text; copies are merged before and after the shuffle, and what is not asked for is not shuffled."""
+        names = saved(names.distinct(), "names")
+        near = among(texts, "name", names, "name")
+        return saved(near.join(names, "name", "left_semi").groupBy("name").agg(F.first("text").alias("text")), "bodies")
+
+    agreeing = F.aggregate(F.zip_with("samples_a", "samples_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    close = saved(beside(pairs, signed.select("name", "samples"), "samples").where(agreeing >= AGREE).select("a", "b", "chunks", "chunk"), "close")
+    compared = beside(close, bodies(close.select(F.col("a").alias("name")).unionAll(close.select("b"))), "text")
+    links = saved(compared.select("a", "text_a", "b", "text_b").mapInArrow(_verified(idf_of, least), "a string, b string"), "links")
     roots = saved(components(links), "roots")
     placed = saved(shared.join(roots.withColumnRenamed("node", "name"), "name", "left").select("band", "key", "name", "n", F.coalesce("root", "name").alias("root")), "placed")
     # Bands of two have had their one comparison. Bands of the same members are looked at once.
@@ -261,8 +303,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     final = roots
     if not open_.isEmpty():
         cut = open_.withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        units = cut.select(F.concat_ws(":", "band", "key").alias("bucket"), F.least("chunk", "other").alias("g"), F.greatest("chunk", "other").alias("h"), "chunk", "name", "root")
-        units = units.join(bodies, "name").repartition("bucket", "g", "h").sortWithinPartitions("bucket", "g", "h")
+        units = cut.select(F.concat_ws(":", "band", "key").alias("bucket"), F.least("chunk", "other").cast("int").alias("g"), F.greatest("chunk", "other").cast("int").alias("h"), "chunk", "name", "root")
+        drawn = units.join(signed.select("name", "samples"), "name").repartition("bucket", "g", "h").sortWithinPartitions("bucket", "g", "h")
+        units = saved(drawn.select(*_UNIT.names, "samples").mapInArrow(_promising, "bucket string, g int, h int, chunk int, name string, root string"), "promising")
+        units = units.join(bodies(units.select("name")), "name").repartition("bucket", "g", "h").sortWithinPartitions("bucket", "g", "h")
         more = saved(units.mapInArrow(_blocks(idf_of, least), "a string, b string"), "more")
         if not more.isEmpty():
             final = saved(components(links.unionAll(more)), "roots")
@@ -301,13 +345,14 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     marked = saved(near_duplicates(docs, least, text_hash_too=True), "marked")
     gone = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay")).where("stay < n")
-    gone = saved(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stay"), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & text_hash().eqNullSafe(F.col("_hash"))
-    whole = docs.join(gone.drop("stay"), same, "left_anti")
-    one = gone.where("stay > 0").drop("stay")
+    gone = saved(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "stay"), "gone")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", text_hash().alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.col("text_hash").eqNullSafe(F.col("gone_hash"))
+    whole = rows.join(gone, same, "left_anti").select("row.*")
+    one = gone.where("stay > 0")
     if one.isEmpty():
         return whole
-    return whole.unionByName(docs.join(one, same, "left_semi").withColumn("_hash", text_hash()).dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    return whole.unionByName(rows.join(one, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
