@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyfold.llm.common import Words, grams, mixed, saved, table, text_hash
+from tallyfold.llm.common import Words, grams, mixed, parts, saved, table, text_hash
 
 WINDOW = 35
 RUN = 3
@@ -32,6 +32,8 @@ RUN = 3
 LONGEST = 256
 HOT_SHARE = 20_000
 BUCKET_STRINGS = 40_000
+#: Bytes of text whose strings are merged before they are sent.
+PACKED = 1 << 22
 _HOT = np.uint64(1 << 63)
 
 
@@ -91,8 +93,8 @@ def digest(text: bytes) -> bytes:
 
 def _minimisers(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            strings = Strings(batch.column(0), np.empty(0, np.uint64), window)
+        for batch in parts(batches, "text"):
+            strings = Strings(batch.column("text"), np.empty(0, np.uint64), window)
             found, n = np.unique(strings.minimiser, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["minimiser", "n"])
 
@@ -105,8 +107,8 @@ def _packed(hot: np.ndarray, window: int, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for batch in batches:
-            strings = Strings(batch.column(0), hot, window)
+        for batch in parts(batches, "text", PACKED):
+            strings = Strings(batch.column("text"), hot, window)
             once: dict[bytes, int] = {}
             copies, kept, texts = [], [], []
             for i, text in enumerate(strings.texts()):
@@ -198,9 +200,9 @@ def _exactly(codes: np.ndarray, at: np.ndarray, weight: np.ndarray, window: int)
 def _places(hot: np.ndarray, window: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where each string stands: (digest, text_hash, first): ``first`` is its first word in the text."""
-        for batch in batches:
-            strings = Strings(batch.column(0), hot, window)
-            column = batch.column(0)
+        for batch in parts(batches, "text"):
+            strings = Strings(batch.column("text"), hot, window)
+            column = batch.column("text")
             used, inverse = np.unique(strings.row, return_inverse=True)
             names = pa.array([hashlib.md5(x.as_buffer()).digest() for x in map(column.cast(pa.binary()).__getitem__, used.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -214,7 +216,7 @@ def _places(hot: np.ndarray, window: int):
 def _cut(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts without their covered words."""
-        for batch in batches:
+        for batch in parts(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             firsts, bits = batch.column("firsts").to_pylist(), batch.column("bits").to_pylist()
             words = Words(batch.column("text"))
@@ -234,21 +236,21 @@ def _cut(window: int):
                 each = (text or b"").split()
                 left.append(b" ".join(each if not removed[i] else [w for w, k in zip(each, keep.tolist(), strict=True) if k]))
             out = pa.array(left, pa.binary()).cast(pa.string())
-            names = [x for x in batch.schema.names if x not in ("firsts", "bits")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(x) for x in names] + [pa.array(total.astype(np.int64)), pa.array(removed), out, pa.array([hashlib.sha256(x).hexdigest() for x in left])],
-                names=[*names, "n_words", "n_removed", "kept", "kept_sha256"],
+                [batch.column("row"), pa.array(total.astype(np.int64)), pa.array(removed), out, pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())],
+                ["row", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
     return cut
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The columns of ``docs`` with n_words, n_removed (long), kept (the words left, joined by one space), kept_sha256.
+    """``row`` (the columns of ``docs`` as a struct), n_words, n_removed (long), kept (the words left, joined by one space), kept_sha256.
 
-    ``docs`` has ``text`` and any other columns but these four, firsts, bits and _name. A NULL or empty text has no words, as has one of
+    ``docs`` has ``text`` and any other columns, whatever their names. A NULL or empty text has no words, as has one of
     spaces only: nothing is removed and ``kept`` is empty. A text shorter than a window loses nothing. Rows of equal text are
-    occurrences of their own, even with equal id. An empty table stays empty.
+    occurrences of their own, even with equal id. An empty table stays empty. A text of any length is taken whole; tasks hold some texts of
+    ``PACKED`` bytes together, or one longer one.
     """
     spark, texts = docs.sparkSession, docs.select("text")
     counts = saved(texts.mapInArrow(_minimisers(window), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")), "minimisers")
@@ -261,17 +263,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     places = texts.mapInArrow(_places(hot, window), "digest binary, name binary, first int").join(repeated, "digest")
     # Copies of a text have the same places: each is kept once.
     spans = places.groupBy("name", "first").agg(F.first("bits").alias("bits")).groupBy("name").agg(F.collect_list("first").alias("firsts"), F.collect_list("bits").alias("bits"))
-    spans = saved(spans, "spans").withColumnRenamed("name", "_name")
-    marked = docs.join(spans, F.unhex(text_hash()) == F.col("_name"), "left").drop("_name")
+    spans = saved(spans, "spans")
+    rows = docs.select(F.struct("*").alias("row"), "text", F.unhex(text_hash()).alias("name"))
+    marked = rows.join(spans, "name", "left").select("row", "text", "firsts", "bits")
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()), StructField("kept_sha256", StringType())]
-    schema = StructType([*docs.schema.fields, *added])
+    schema = StructType([StructField("row", docs.schema), *added])
     return marked.mapInArrow(_cut(window), schema)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return without_repeats(docs).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {"op4_substrings": op4_substrings}
