@@ -25,40 +25,41 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import MIX, Words, hash_words, mixed, parts, saved, seeded, table
 
 #: Sampled labelled texts of each class at most.
-EXAMPLES = 4000
-BUCKETS = 1 << 18
+EXAMPLES = 2000
+BUCKETS = 1 << 16
 DIMENSIONS = 8
 SHORTEST, LONGEST = 3, 5
 SHARDS = 6
-ROUNDS = 6
+ROUNDS = 5
 RATE = 0.5
 BATCH = 16
+#: A text is the mean of hundreds of vectors; the step of each is scaled up by this.
+STEP = 30
 #: ``predicted`` is 1 from this score on.
 ACCEPT = 0.3
 _SAME = hash_words([b"\x00same"])[0]
-_KNOWN = 300_000
 
 
-def buckets_of(word: bytes) -> np.ndarray:
-    """The buckets of a word and its parts."""
-    text = "<" + word.decode("utf-8", "replace") + ">"
-    every = {text.encode(), *(text[i : i + n].encode() for n in range(SHORTEST, LONGEST + 1) for i in range(len(text) - n + 1))}
-    return (hash_words(sorted(every)) % np.uint64(BUCKETS)).astype(np.int32)
-
-
-def remembered(function, most: int = _KNOWN):
-    """``function`` of a word, with the results of the first ``most`` words kept."""
-    known: dict[bytes, object] = {}
-
-    def of_word(word: bytes):
-        found = known.get(word)
-        if found is None:
-            found = function(word)
-            if len(known) < most:
-                known[word] = found
-        return found
-
-    return of_word
+def word_buckets(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of words and of their parts, and the place of the word that each is of, in rising order."""
+    if not distinct:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # All words in one array of code points: a run that holds a line break is of no word.
+    text = "<" + ">\n<".join(b"\n".join(distinct).decode("utf-8", "replace").split("\n")) + ">"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = points == 10
+    word = np.cumsum(ends)
+    hashes, places = [hash_words(distinct)], [np.arange(len(distinct))]
+    rolled = np.zeros(len(points), np.uint64)
+    for n in range(1, LONGEST + 1):
+        rolled = rolled[: len(points) - n + 1] * MIX + points[n - 1 :] + np.uint64(1)
+        if n >= SHORTEST:
+            whole = np.flatnonzero((word[: len(rolled)] == word[n - 1 :]) & ~ends[: len(rolled)])
+            hashes.append(mixed(rolled[whole]))
+            places.append(word[whole])
+    place = np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    return (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)[order], place[order]
 
 
 def pair_buckets(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,20 +71,23 @@ def pair_buckets(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (value % np.uint64(BUCKETS)).astype(np.int64), row[at]
 
 
-def bags(column: pa.Array, of_word=buckets_of) -> list[tuple[np.ndarray, np.ndarray]]:
+def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(bucket, share) of each text; the shares of a text add up to 1. A text without words has none."""
     words = Words(column)
     codes, distinct = words.coded()
     hashes = hash_words(distinct)[codes] if distinct else np.empty(0, np.uint64)
     pair, pair_row = pair_buckets(words, hashes)
+    bucket_of, place = word_buckets(distinct)
+    edges = np.searchsorted(place, np.arange(len(distinct) + 1))
     ends, out = np.searchsorted(pair_row, np.arange(len(column) + 1)), []
     for i in range(len(column)):
         word, times = np.unique(codes[words.first[i] : words.first[i + 1]], return_counts=True)
-        each = [of_word(distinct[w]) for w in word.tolist()]
-        bucket = np.concatenate([np.empty(0, np.int64), *each, pair[ends[i] : ends[i + 1]]]).astype(np.int64)
-        count = np.concatenate([np.repeat(times, [len(x) for x in each]), np.ones(ends[i + 1] - ends[i], np.int64)])
-        names, place = np.unique(bucket, return_inverse=True)
-        total = np.bincount(place, weights=count, minlength=len(names))
+        size = edges[word + 1] - edges[word]
+        at = np.arange(size.sum()) + np.repeat(edges[word] - (np.cumsum(size) - size), size)
+        bucket = np.concatenate([bucket_of[at], pair[ends[i] : ends[i + 1]]])
+        count = np.concatenate([np.repeat(times, size), np.ones(ends[i + 1] - ends[i], np.int64)])
+        names, same = np.unique(bucket, return_inverse=True)
+        total = np.bincount(same, weights=count, minlength=len(names))
         out.append((names, (total / max(total.sum(), 1)).astype(np.float32)))
     return out
 
@@ -108,16 +112,17 @@ class Model:
             bucket = np.concatenate([examples[i][0] for i in some])
             share = np.concatenate([examples[i][1] for i in some])
             row = np.repeat(np.arange(len(some)), size)
-            hidden = np.zeros((len(some), DIMENSIONS), np.float32)
-            np.add.at(hidden, row, self.vectors[bucket] * share[:, None])
+            parts_ = self.vectors[bucket] * share[:, None]
+            hidden = np.stack([np.bincount(row, weights=parts_[:, d], minlength=len(some)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
             logits = hidden @ self.weights.T + self.bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = odds / odds.sum(axis=1, keepdims=True)
             error[np.arange(len(some)), labels[some]] -= 1
             error *= weight[some][:, None]
             back = error @ self.weights
-            # A mean of hundreds of vectors: the step of each is scaled up by what they share out.
-            np.add.at(self.vectors, bucket, -rate * share[:, None] * back[row] * 30)
+            step = rate * STEP * share
+            for d in range(DIMENSIONS):
+                self.vectors[:, d] -= np.bincount(bucket, weights=step * back[row, d], minlength=BUCKETS)
             self.weights -= rate * error.T @ hidden / len(some) * BATCH ** 0.5
             self.bias -= rate * error.mean(axis=0)
 
@@ -127,9 +132,8 @@ class Model:
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    of_word = remembered(buckets_of)
     for batch in parts(batches, "text"):
-        found = bags(batch.column("text"), of_word)
+        found = bags(batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array([b.tolist() for b, _ in found], pa.list_(pa.int32())), pa.array([s.tolist() for _, s in found], pa.list_(pa.float32())), batch.column("label"), batch.column("shard")], ["bucket", "share", "label", "shard"])
 
 
@@ -158,14 +162,16 @@ def trained(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, rounds
     """
     spark = docs.sparkSession
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("label"))
-    told = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(one, "doc_id")
+    told = docs.select("doc_id", F.xxhash64("text", "doc_id").alias("hash")).join(one, "doc_id")
     sizes = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     if len(sizes) < 2:
         return np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share)))
-    picked = [told.where(F.col("label") == y).orderBy(F.xxhash64("text", "doc_id"), "doc_id").limit(examples) for y in (0, 1)]
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARDS)).cast("int")
-    chosen = picked[0].unionAll(picked[1]).select("text", "label", shard.alias("shard")).repartition(SHARDS, "shard")
+    picked = [told.where(F.col("label") == y).distinct().orderBy("hash", "doc_id").limit(examples) for y in (0, 1)]
+    # At most 2 * examples rows, so they can be broadcast; only their texts move.
+    picked = F.broadcast(saved(picked[0].unionAll(picked[1]), "picked"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text", "doc_id").alias("hash")).join(picked, ["doc_id", "hash"])
+    chosen = texts.dropDuplicates(["doc_id", "hash"]).select("text", "label", F.pmod("hash", F.lit(SHARDS)).cast("int").alias("shard")).repartition(SHARDS, "shard")
     sample = saved(chosen.mapInArrow(_bagged, "bucket array<int>, share array<float>, label int, shard int"), "examples")
     taken = {y: min(n, examples) for y, n in sizes.items()}
     balance = np.array([sum(taken.values()) / (2 * taken[y]) for y in (0, 1)], np.float32)
@@ -224,22 +230,18 @@ def scored(docs: DataFrame, training: DataFrame, labels: DataFrame, examples: in
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = number_of.value
-
-        def summed(word: bytes) -> tuple[float, int]:
-            bucket = buckets_of(word)
-            return float(numbers[bucket].sum()), len(bucket)
-
-        of_word = remembered(summed)
         for batch in parts(batches, "text"):
             n = len(batch)
             words = Words(batch.column("text"))
             codes, distinct = words.coded()
             row = words.rows()
-            each = np.array([of_word(w) for w in distinct], np.float64).reshape(-1, 2)
+            bucket, place = word_buckets(distinct)
+            number = np.bincount(place, weights=numbers[bucket], minlength=len(distinct))
+            features = np.bincount(place, minlength=len(distinct))
             hashes = hash_words(distinct)[codes] if distinct else np.empty(0, np.uint64)
             pair, pair_row = pair_buckets(words, hashes)
-            total = np.bincount(row, weights=each[codes, 0], minlength=n) + np.bincount(pair_row, weights=numbers[pair], minlength=n)
-            count = np.bincount(row, weights=each[codes, 1], minlength=n) + np.bincount(pair_row, minlength=n)
+            total = np.bincount(row, weights=number[codes], minlength=n) + np.bincount(pair_row, weights=numbers[pair], minlength=n)
+            count = np.bincount(row, weights=features[codes], minlength=n) + np.bincount(pair_row, minlength=n)
             odds = scale * total / np.maximum(count, 1) + intercept
             result = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             columns = [x for x in batch.schema.names if x != "text"]
