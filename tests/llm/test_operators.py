@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyfold.llm import decontamination, embeddings, language, language_model, near_duplicates, packing, registry, sharding, substrings, toxicity, urls
+from tallyfold.llm import decontamination, embeddings, language, language_model, near_duplicates, packing, phrases, quality, registry, sharding, substrings, toxicity, urls, variants
 from tallyfold.llm.common import parts
 from tests.oracle import compare, connect
 
@@ -45,11 +46,11 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_has_one_query():
     assert sorted(registry.queries(), key=lambda x: int(x[2:].split("_")[0])) == [n for n in registry.queries()]
-    assert len(registry.queries()) == 10
+    assert len(registry.queries()) == 13
 
 
 def test_substrings(docs):
-    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.without_repeats(docs).collect()]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.without_repeats(docs).select("row.doc_id", "n_words", "n_removed", "kept").collect()]
     by_id = {r[0]: r for r in got}
     assert len(got) == len(DOCS)
     assert by_id[1][1:] == (3000, 3000, "") and by_id[2][1:] == (3001, 3000, "tail")
@@ -59,6 +60,12 @@ def test_substrings(docs):
     assert by_id[10][1:] == (500, 500, "")
     assert corpus_pipeline.substring_dedup(None, docs, "").columns == docs.columns
     assert substrings.without_repeats(docs.limit(0)).count() == 0
+    names = ("kept", "n_words", "n_removed", "kept_sha256", "_name", "firsts", "bits", "row")
+    other = docs.withColumns({n: F.lit(n) for n in names})
+    assert corpus_pipeline.substring_dedup(None, other, "").columns == other.columns
+    million = docs.limit(1).withColumn("text", F.expr("concat_ws(' ', transform(sequence(1, 500000), x -> concat('w', x)), 'again', transform(sequence(1, 500000), x -> concat('w', x)))"))
+    row = substrings.without_repeats(million).first()
+    assert (row["n_words"], row["n_removed"], row["kept"]) == (1_000_001, 1_000_000, "again")
 
 
 def test_near_duplicates(docs):
@@ -71,6 +78,29 @@ def test_near_duplicates(docs):
     kept = near_duplicates.one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id in (1, 2, 9)").count() == 1
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
+    other = docs.withColumns({"_id": F.lit(1), "_hash": F.lit(2), "gone_id": F.lit(3), "row": F.lit(4)})
+    assert near_duplicates.one_of_each(other).columns == other.columns
+
+
+def test_near_duplicates_by_brute_force(spark, monkeypatch):
+    """Groups of near copies around the threshold, in small blocks; classes are those of all similar pairs."""
+    random = np.random.default_rng(10)
+    vocabulary = np.array([f"v{i}" for i in range(400)])
+    texts = []
+    for _ in range(6):
+        base = random.choice(vocabulary, 120)
+        for _ in range(12):
+            text = base.copy()
+            at = random.choice(120, random.integers(0, 4), replace=False)
+            text[at] = random.choice(vocabulary, len(at))
+            texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_duplicates.inverse_frequencies(*near_duplicates.document_frequencies(docs))
+    weighed = [near_duplicates.weighted(near_duplicates.Words(pa.array([t])).hashes(), idf) for t in texts]
+    linked = np.array([[near_duplicates.similarity(a, b) >= 0.8 for b in weighed] for a in weighed])
+    monkeypatch.setattr(near_duplicates, "CHUNK", 5)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == near_duplicates.least_linked(linked).tolist()
 
 
 def test_all_similar_is_weighted_jaccard():
@@ -92,6 +122,13 @@ def test_decontamination(spark, docs):
     left = decontamination.clean(docs, items)
     assert left.columns == docs.columns and left.count() == len(DOCS) - 2
     assert decontamination.leaks(docs, items.limit(0)).count() == 0 == decontamination.leaks(docs.limit(0), items).count()
+    # Items of under five words are found by their own length; slices of the index change nothing.
+    short = spark.createDataFrame([(1, "Short text"), (2, "text short"), (3, "here"), (4, ""), (5, PASSAGE)], "item_id long, text string")
+    for rows in (1, 7, 1000):
+        got = {(r["item_id"], r["n_shared"]) for r in decontamination.leaks(docs, short, slice_rows=rows).collect()}
+        assert got == {(1, 1), (3, 1), (5, 56)}
+    other = docs.withColumns({"_leak": F.lit(1), "text_hash": F.lit(2), "row": F.lit(3)})
+    assert decontamination.clean(other, items).columns == other.columns
 
 
 def test_packing(docs):
@@ -224,6 +261,146 @@ def test_rare_bad_host_becomes_a_rule(spark):
     assert got == {"http://www.rare.com/a/99": "block", "http://h1.good1.com/a/99": "allow"}
 
 
+def test_urls_of_many_keys_are_mined_in_bounded_work(spark):
+    query = "&".join(f"k{i}={i}" for i in range(30))
+    labelled = [(f"http://x.y{i}.com/a/b.php?{query}", "block") for i in range(5)] + [(f"http://w.z{i}.com/a/b.html", "allow") for i in range(40)]
+    frame = spark.createDataFrame(labelled, "url string, verdict string")
+    rules = urls.mined(frame).collect()
+    assert rules and all(sum(x.startswith("query=") for x in r["items"]) <= 1 for r in rules) and len(rules) < 2000
+    asked = spark.createDataFrame([("http://q.r.com/c?k7=1", "extra")], "url string, _url string")
+    got = urls.judged(asked, frame).first()
+    assert got["verdict"] == "block" and got["method_rule"] == "query=k7" and got["_url"] == "extra"
+    assert urls.judged(asked.limit(0), frame).count() == 0
+
+
+PHRASES = [
+    (1, "New York is new york. New York, new york city", "en"),
+    (2, "new york city! new\tyork city x\nnew york", "en"),
+    (3, "des pommes de terre; pommes de terre", "fr"),
+    (4, None, "en"),
+    (5, "", None),
+    (6, "a b a b a b", None),
+    (6, "a b a b a b", "und"),
+]
+
+
+def _phrases_by_hand(rows, least):
+    import re
+
+    f, n = {}, {}
+    for _, text, lang in rows:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").lower()):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] = n.get(lang, 0) + len(words)
+            for size in range(1, 5):
+                for i in range(len(words) - size + 1):
+                    key = (lang, tuple(words[i : i + size]))
+                    f[key] = f.get(key, 0) + 1
+    candidates = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    out = {}
+    for (lang, p), a in candidates.items():
+        inside = any(x == lang and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))) and 100 * b >= 80 * a for (x, q), b in candidates.items())
+        if not inside:
+            score, _, l, r = min((2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+            out.setdefault(lang, []).append((-score, -a, " ".join(p), l, r))
+    return sorted((lang, i, p, -a, l, r, n[lang], -score) for lang, found in out.items() for i, (score, a, p, l, r) in enumerate(sorted(found), start=1))
+
+
+@pytest.mark.parametrize("width", [64, 3])
+def test_phrases(spark, width):
+    """With fingerprints of three bits most keys collide, and the result stays the same."""
+    frame = spark.createDataFrame([(*r, "x") for r in PHRASES], "doc_id long, text string, lang string, key string")
+    got = phrases.collocations(frame, least=2, width=width, bits=1 << 10).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
+    assert sorted(map(tuple, got)) == _phrases_by_hand(PHRASES, 2)
+    assert phrases.collocations(frame.limit(0), least=2).count() == 0
+
+
+def test_a_long_text_of_phrases(spark):
+    text = " ".join(f"w{i % 997} x" for i in range(120_000))
+    frame = spark.createDataFrame([(text, "en")], "text string, lang string")
+    got = phrases.collocations(frame).collect()
+    assert len(got) == len(phrases.collocations(frame.repartition(3)).collect()) and all(r["n"] == 240_000 for r in got)
+
+
+def test_variants_by_brute_force(spark):
+    random = np.random.default_rng(8)
+    letters = list("abcdeßéÿ")
+    words = {}
+    for _ in range(120):
+        word = "".join(random.choice(letters[: random.integers(2, 9)], random.integers(7, 12)))
+        words[word] = int(random.integers(20, 400))
+        for _ in range(4):
+            i, c = int(random.integers(len(word))), str(random.choice(letters))
+            other = [word[:i] + word[i + 1 :], word[:i] + c + word[i + 1 :], word[:i] + c + word[i:], word + c][int(random.integers(4))]
+            if len(other) >= 7:
+                words.setdefault(other, int(random.integers(2, 40)))
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    expected = {}
+    for w, n in words.items():
+        beside = [x for x in words if x != w and near(w, x)]
+        best = min(beside, key=lambda x: (-words[x], x), default=None)
+        expected[w] = (best if best and words[best] >= 10 * n else None, n, len(beside))
+
+    def root(w):
+        return root(expected[w][0]) if expected[w][0] else w
+
+    frame = spark.createDataFrame(list(words.items()), "word string, n long")
+    for share in (1, 40, 1 << 15):  # from no frequent run to many
+        got = {r["word"]: tuple(r)[1:] for r in variants.grouped(frame, share=share).collect()}
+        assert got == {w: (form, root(w), n, count, words[form] if form else None) for w, (form, n, count) in expected.items()}
+
+
+def test_variants_of_texts(spark):
+    import zlib
+
+    docs = [(1, "Strassenbahn strassenbahn ÀÉÿabcd àéÿabcd tooslow", "x"), (None, None, "x"), (None, "strassenbahn " * 3, "x"), (2, "", "x"), (1, "strassenbahn", "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, word string")
+    counts = {}
+    for doc_id, text, _ in docs:
+        for run in variants.RUN.findall(text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            run = run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run
+            counts[run] = counts.get(run, 0) + 1
+    got = {r["word"]: r["n"] for r in variants.variants(frame).collect()}
+    assert got == {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    assert variants.variants(frame.limit(0)).count() == 0
+    text = "ab" * 900_000 + " " + "wort" * 3
+    assert variants.runs_of(text) == {"ab" * 900_000: 1, "wortwortwort": 1}
+
+
+def test_quality_learns_and_is_held_out(spark):
+    random = np.random.default_rng(9)
+    good, bad = [f"word{i}" for i in range(60)], [f"junk{i}***" for i in range(60)]
+    rows = [(i, " ".join(random.choice(good if i % 3 else bad, 40)), int(i % 3 > 0)) for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (None, "word1", "x"), (5, rows[5][1], "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (1, None)], "doc_id long, quality int")
+    got = quality.scored(docs, docs.where("doc_id % 5 <> 0"), labels.where("doc_id % 5 <> 0")).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    by_id = {r["doc_id"]: r["predicted"] for r in got}
+    held = [(by_id[i], y) for i, _, y in rows if i % 5 == 0]
+    assert sum(p == y for p, y in held) >= 0.95 * len(held)
+    none = quality.scored(docs, docs, labels.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.5}
+    assert quality.scored(docs.limit(0), docs, labels).count() == 0
+
+
+def test_word_buckets_are_those_of_each_word():
+    words = ["über".encode(), b"ab", b"a", b"\xff\xfe", "日本語".encode()]
+    bucket, place = quality.word_buckets(words)
+    for i, word in enumerate(words):
+        alone, _ = quality.word_buckets([word])
+        assert sorted(bucket[place == i]) == sorted(alone)
+    assert len(bucket[place == 2]) == 2 and len(quality.word_buckets([])[0]) == 0  # the word itself and <a>
+
+
 def test_embeddings(spark):
     random = np.random.default_rng(4)
     base = random.standard_normal(16)
