@@ -28,9 +28,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; a text that loses nothing stays as it is. No row goes."""
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return substrings.without_repeats(docs).withColumn("n_chars", size).withColumn("text", text).select(docs.columns)
+    text = F.when(changed, F.col("kept")).otherwise(F.col("row.text"))
+    size = F.when(changed, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    row = F.col("row").withField("text", text).withField("n_chars", size)
+    return substrings.without_repeats(docs).select(row.alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
