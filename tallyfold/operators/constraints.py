@@ -44,10 +44,7 @@ def orphans(child: DataFrame, columns: Sequence[str], parent: DataFrame, ref_col
 
 
 def null_counts(name: str, df: DataFrame) -> DataFrame:
-    """``(table, column, nulls, n_rows)`` for every column, in one pass.
-
-    Plain counts can be answered from file statistics by sources that push aggregates down.
-    """
+    """``(table, column, nulls, n_rows)`` for every column, in one pass over the columns of the files."""
     counts = df.selectExpr("count(1) AS n", *[f"count(`{c}`) AS `c_{c}`" for c in df.columns])
     rows = ", ".join(
         f"named_struct('table', '{name}', 'column', '{c}', 'nulls', n - `c_{c}`, 'n_rows', n)" for c in df.columns
@@ -58,8 +55,8 @@ def null_counts(name: str, df: DataFrame) -> DataFrame:
 def duplicated_values(df: DataFrame, column: str) -> DataFrame:
     """``(value, n)`` for values that occur more than once; NULLs do not collide.
 
-    Text is first counted by its hash, so that only text whose hash repeats is shuffled; the texts
-    themselves are compared afterwards, which keeps the result exact.
+    Text is first counted by its hash; the texts whose hash repeats are then compared themselves, which keeps the result exact. Where
+    the repeated hashes outgrow a broadcast, all texts are shuffled by their hash.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
     if isinstance(df.schema[column].dataType, StringType):
@@ -70,7 +67,12 @@ def duplicated_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def unique_summary(name: str, df: DataFrame, column: str) -> DataFrame:
-    """``(table, column, duplicated, surplus)``: repeated values and the rows beyond their first."""
+    """``(table, column, duplicated, surplus)``: repeated values and the rows beyond their first.
+
+    Texts are told apart by their SHA-256, so that digests are shuffled in their place.
+    """
+    if isinstance(df.schema[column].dataType, StringType):
+        df = df.select(F.unhex(F.sha2(F.col(column), 256)).alias(column))
     return duplicated_values(df, column).agg(
         F.lit(name).alias("table"),
         F.lit(column).alias("column"),
