@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Words, parts, saved, table
+from tallyfold.llm.common import Words, hash_words, parts, saved, table
 
 EXAMPLES = 2000
 PREFIXES = (4, 5, 6, 7)
@@ -31,28 +31,31 @@ NEIGHBOURS = 15
 BLOCK = 64
 FIRST = 2
 EVIDENCE = 3
+_NONE = np.empty(0, np.int32)
 _TRIM = b".,;:!?\"'()[]{}<>*_-"
 
 
-def terms_of(word: bytes) -> set[bytes]:
-    """A lower-case word without the signs around it, and its beginnings, marked as such."""
+def terms_of(word: bytes) -> np.ndarray:
+    """The hashes of a lower-case word without the signs around it, and of its beginnings, marked as such."""
     text = word.strip(_TRIM).decode("utf-8", "ignore").lower()
-    return {text.encode(), *((text[:n] + "~").encode() for n in PREFIXES if len(text) > n)} if text else set()
+    return hash_words([text.encode(), *((text[:n] + "~").encode() for n in PREFIXES if len(text) > n)]) if text else np.empty(0, np.uint64)
 
 
 class Matcher:
-    """The vocabulary's terms in a column of texts."""
+    """The vocabulary's terms in a column of texts. The vocabulary is the sorted hashes of its terms; a term is its place among them."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.place = {term: i for i, term in enumerate(vocabulary)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.known: dict[bytes, np.ndarray] = {}
 
-    def of_word(self, word: bytes) -> tuple[int, ...]:
+    def of_word(self, word: bytes) -> np.ndarray:
         found = self.known.get(word)
         if found is None:
-            found = tuple(sorted(i for term in terms_of(word) if (i := self.place.get(term)) is not None))
-            if len(self.known) < 500_000:
-                self.known[word] = found
+            terms = np.unique(terms_of(word))
+            place = np.searchsorted(self.vocabulary, terms)
+            found = place[self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] == terms].astype(np.int32) if len(self.vocabulary) else _NONE
+            if len(self.known) < 200_000:
+                self.known[word] = found if len(found) else _NONE
         return found
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,7 +64,7 @@ class Matcher:
         codes, distinct = words.coded()
         found = [self.of_word(w) for w in distinct]
         size = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.int64)
+        flat = np.concatenate([_NONE, *found]).astype(np.int64)
         first = np.cumsum(size) - size
         for a, b in pairwise(words.first.tolist()):
             word, times = np.unique(codes[a:b], return_counts=True)
@@ -156,15 +159,17 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _candidate_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n, toxic): in how many examples, and in how many toxic ones."""
-    counts: dict[bytes, list[int]] = {}
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for term in set().union(*map(terms_of, set(text.split()))):
-                cell = counts.setdefault(term, [0, 0])
-                cell[0] += 1
-                cell[1] += toxic
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([x[0] for x in counts.values()], pa.int64()), pa.array([x[1] for x in counts.values()], pa.int64())], ["term", "n", "toxic"])
+    """(term, n, toxic): in how many examples of a part, and in how many toxic ones."""
+    for batch in parts(batches, "text"):
+        words = Words(batch.column("text"))
+        codes, distinct = words.coded()
+        terms = [np.unique(terms_of(w)) for w in distinct]
+        each = [np.empty(0, np.uint64)]
+        each += [np.unique(np.concatenate([each[0], *(terms[c] for c in np.unique(codes[a:b]).tolist())])) for a, b in pairwise(words.first.tolist())]
+        toxic = np.repeat(np.array(batch.column("toxic").to_pylist(), np.int64), [len(x) for x in each[1:]])
+        found, place, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        bad = np.bincount(place, weights=toxic, minlength=len(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(bad)], ["term", "n", "toxic"])
 
 
 class Model:
@@ -177,15 +182,17 @@ class Model:
         picked = [told.where((F.col("toxic") > 0) == bool(y)).orderBy(F.xxhash64("text"), "doc_id").limit(examples) for y in (0, 1)]
         chosen = saved(picked[0].unionAll(picked[1]).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), "doc_id").repartition(12), "examples")
         n, bad = (chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first())[:2]
-        seen = chosen.select("text", "toxic").mapInArrow(_candidate_terms, "term binary, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+        seen = chosen.select("text", "toxic").mapInArrow(_candidate_terms, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
         expected = F.col("n") * (bad / max(n, 1))
         chi = (F.col("toxic") - expected) ** 2 * n / (expected * (n - F.col("n")) * (1 - bad / max(n, 1)) + 1e-9)
-        vocabulary = seen.select("term", chi.alias("chi")).toPandas().sort_values("term")
-        self.vocabulary = [bytes(x) for x in vocabulary["term"]]
-        matcher_terms, size = self.vocabulary, len(self.vocabulary)
+        told_of = seen.select("term", chi.alias("chi")).toArrow()
+        hashes = told_of["term"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        self.vocabulary, size = hashes[order], len(hashes)
+        shared = docs.sparkSession.sparkContext.broadcast(self.vocabulary)
 
         def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher, total, rows = Matcher(matcher_terms), np.zeros(size + 1, np.int64), 0
+            matcher, total, rows = Matcher(shared.value), np.zeros(size + 1, np.int64), 0
             for batch in parts(batches, "text"):
                 for term, _ in matcher(batch.column(0)):
                     total[term] += 1
@@ -195,22 +202,25 @@ class Model:
             yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["term", "n"])
 
         df = np.zeros(size + 1, np.int64)
-        found = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-        df[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-        self.weights = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.log1p(vocabulary["chi"].to_numpy(np.float64))
+        found = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df[found["term"].to_numpy()] = found["n"].to_numpy()
+        self.weights = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.log1p(told_of["chi"].to_numpy()[order].astype(np.float64))
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(matcher_terms)
-            for batch in batches:
+            matcher = Matcher(shared.value)
+            for batch in parts(batches, "text"):
                 each = list(matcher(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([pa.array([t.tolist() for t, _ in each], pa.list_(pa.int64())), pa.array([c.tolist() for _, c in each], pa.list_(pa.int64())), batch.column("toxic"), batch.column("doc_id").cast(pa.string())], ["term", "count", "toxic", "doc_id"])
-
-        rows = chosen.mapInArrow(vectors, "term array<long>, count array<long>, toxic int, doc_id string").toPandas().sort_values("doc_id").reset_index(drop=True)
-        self.toxic = rows["toxic"].to_numpy(np.float64)
-        self.names = rows["doc_id"].tolist()
+                ends = pa.array(np.cumsum([0, *(len(t) for t, _ in each)]).astype(np.int32))
+                term, count = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([_NONE, *x]).astype(np.int32))) for x in zip(*each, strict=True))
+                yield pa.RecordBatch.from_arrays([term, count, batch.column("toxic"), batch.column("doc_id").cast(pa.string())], ["term", "count", "toxic", "doc_id"])
+
+        rows = chosen.mapInArrow(vectors, "term array<int>, count array<int>, toxic int, doc_id string").toArrow().sort_by("doc_id").combine_chunks()
+        shared.unpersist()
+        self.toxic = rows["toxic"].to_numpy().astype(np.float64)
+        self.names = rows["doc_id"].to_pylist()
         share = [sizes.get(y, 0) / max(1, int((self.toxic == y).sum())) for y in (0, 1)]
         self.stands_for = np.where(self.toxic > 0, share[1], share[0])
-        given = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(rows["term"], rows["count"], strict=True)]
+        given = [(t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for t, c in zip(rows["term"], rows["count"], strict=True)]
         examples_ = [(t, weighted(t, c, self.weights)) for t, c in given]
         self.index = Index(examples_, size)
         raw = np.array([vote(*self.index.nearest(t, w, without=i), self.toxic, self.stands_for) for i, (t, w) in enumerate(examples_)])
