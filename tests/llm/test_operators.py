@@ -439,6 +439,33 @@ def test_filters_find_pairs_just_above_the_linking_cosine(length):
     assert np.mean(met) >= 0.998
 
 
+def test_filters_are_all_that_are_exceeded():
+    unit = embeddings._unit(np.random.default_rng(11).standard_normal((50, 24)))
+    code = embeddings.Code(24, 64, 0.9)
+    for i, found in enumerate(code.filters(unit)):
+        expected = []
+        for n, one in enumerate(code.codes):
+            x, y = one.products(unit[i : i + 1])
+            sums = (x[0][:, None] + y[0][None, :]).ravel()
+            over = np.flatnonzero(sums >= min(one.alpha, sums.max()) - 1e-12)
+            expected += (over + n * 64 * 64).tolist()
+        assert found.tolist() == sorted(expected)
+
+
+def test_links_just_above_the_cosine(spark):
+    """Pairs between cosine 0.9 and 0.92 through the whole operator, against brute force."""
+    random = np.random.default_rng(12)
+    a, b = _near_pairs(random, 400, 32, 32, random.uniform(0.9, 0.92, 400))
+    vectors = np.concatenate([a, b])
+    linked = embeddings._unit(vectors) @ embeddings._unit(vectors).T >= 0.9
+    np.fill_diagonal(linked, False)
+    frame = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, node string")
+    got = {r["vec_id"]: r for r in embeddings.linked_vectors(frame).collect()}
+    found = np.array([got[i]["n_links"] for i in range(800)])
+    assert (found <= linked.sum(axis=1)).all() and found.sum() >= 0.998 * linked.sum()
+    assert embeddings.linked_vectors(frame.limit(0)).count() == 0
+
+
 def test_chunks_change_nothing(spark, monkeypatch):
     random = np.random.default_rng(5)
     base = random.standard_normal(16)
