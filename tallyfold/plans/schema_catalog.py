@@ -314,9 +314,9 @@ def identifier_exprs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ddl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = raw_columns(spark, sf_dir).where(~F.col("schema").isin(*SYSTEM_SCHEMAS))
+    columns, _ = written(raw_columns(spark, sf_dir).where(~F.col("schema").isin(*SYSTEM_SCHEMAS)), "columns")
     unique = columns.where(F.col("o_totalprice") > 490000).select(*TABLE, "column")
-    foreign = foreign_keys(columns, table(spark, sf_dir, "lineitem"))
+    foreign, _ = written(foreign_keys(columns, table(spark, sf_dir, "lineitem")), "foreign-keys")
     # A foreign key counts once per table and reference; its name is the first of its constraints.
     lines = ddl_lines(columns, primary_keys(columns), unique, foreign)
     return lines.select(*TABLE, "section", "constraint", "position", "text")
@@ -325,7 +325,8 @@ def ddl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def er_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = last_per_key(typed_catalog(catalog_tokens(spark, sf_dir)), ["table", "column"], ["order"])
     schemas = ["meta", TEST_SCHEMA]
-    return diagram_lines(table_definitions(catalog, schemas), schemas)
+    definitions, _ = written(table_definitions(catalog, schemas), "definitions")
+    return diagram_lines(definitions, schemas)
 
 
 _RAW = f"""raw AS (

@@ -98,6 +98,14 @@ def component_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.component_issues(_scanned(spark, sf_dir), bundles).select("type", "file", "text", "line", "count")
 
 
+def component_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all issues of components, keys that their bundles lack included."""
+    bundles, keys = site_bundles(spark, sf_dir)
+    scanned = _scanned(spark, sf_dir)
+    found = ops.component_issues(scanned, bundles).unionByName(ops.missing_keys(scanned, bundles, keys))
+    return found.select("type", "file", "message")
+
+
 def key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that are used but not defined, and keys that are defined but not used."""
     bundles, keys = site_bundles(spark, sf_dir)
@@ -237,6 +245,7 @@ QUERIES = {
     "used_keys": used_keys,
     "hardcoded_text": hardcoded_text,
     "component_issues": component_issues,
+    "component_messages": component_messages,
     "key_usage": key_usage,
     "orphan_bundles": orphan_bundles,
     "global_keys": global_keys,
@@ -248,6 +257,13 @@ ORACLE = {
     "used_keys": f"WITH {_SITE} SELECT path, key FROM used",
     "hardcoded_text": f"WITH t AS (SELECT page_id AS place, html AS content FROM pages) SELECT place AS page_id, kind, text, line, context FROM ({_found_sql(PAGE_ATTRIBUTES)})",
     "component_issues": _COMPONENTS_SQL,
+    "component_messages": f"""WITH i AS ({_COMPONENTS_SQL}), d AS (SELECT *, regexp_replace(file, '/[^/]*$', '') AS dir FROM i)
+        SELECT type, file, CASE type WHEN 'translation_path_mismatch' THEN 'The bundle of ' || text || ' is opened from ' || dir || ', and there is no such bundle'
+          WHEN 'duplicate_use_translation' THEN '''' || text || ''' is opened ' || count || ' times in the same component'
+          WHEN 'aliased_translation_function' THEN 'The lookup function goes by the name ' || text || ' here'
+          WHEN 'component_missing_translations' THEN 'Texts are looked up, yet ' || dir || ' has no bundle and no other one is opened'
+          WHEN 'component_hardcoded_text' THEN 'Line ' || line || ' shows a fixed text: ' || text ELSE 'No text is looked up, ' || count || ' are fixed' END AS message FROM d
+        UNION ALL SELECT type, place, 'The bundle has no text for ' || key FROM (WITH {_SITE} {_MISSING_SQL})""",
     "key_usage": f"WITH {_SITE} {_MISSING_SQL} UNION ALL {_UNUSED_SQL}",
     "orphan_bundles": f"WITH {_SITE} {_ORPHANS_SQL}",
     "global_keys": _GLOBAL_SQL,
