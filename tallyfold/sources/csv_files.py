@@ -33,7 +33,7 @@ def read_by_header(
     file. The index is small against the rows; Spark broadcasts it as long as its size allows that.
     """
     hidden = "_tallyfold_file"
-    every = _reader(spark, multi_line).option("emptyValue", "").csv(paths)
+    every = _reader(spark, multi_line).schema("first string").csv(paths)
     files = spark.createDataFrame([(f,) for f in every.inputFiles()], "file string")
     headers, _ = written(csv_headers(files), "headers")
     width = headers.agg(F.max("position")).first()[0]
