@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,12 +135,17 @@ class Model:
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, "text"):
         found = bags(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([b.tolist() for b, _ in found], pa.list_(pa.int32())), pa.array([s.tolist() for _, s in found], pa.list_(pa.float32())), batch.column("label"), batch.column("shard")], ["bucket", "share", "label", "shard"])
+        ends = pa.array(np.cumsum([0, *(len(b) for b, _ in found)]).astype(np.int32))
+        bucket, share = (np.concatenate(x) for x in zip(*found, strict=True))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (bucket.astype(np.int32), share)]
+        yield pa.RecordBatch.from_arrays([*lists, batch.column("label"), batch.column("shard")], ["bucket", "share", "label", "shard"])
 
 
 def _examples(rows: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    flat = [(np.asarray(b, np.int64), np.asarray(s, np.float32)) for b, s in zip(rows["bucket"].to_pylist(), rows["share"].to_pylist(), strict=True)]
-    return flat, np.array(rows["label"].to_pylist(), np.int64)
+    bucket, share = (rows[c].combine_chunks() for c in ("bucket", "share"))
+    ends = np.cumsum(pc.list_value_length(bucket).to_numpy(zero_copy_only=False))[:-1]
+    flat = (np.split(x.flatten().to_numpy(zero_copy_only=False), ends) for x in (bucket, share))
+    return list(zip(*flat, strict=True)), rows["label"].to_numpy().astype(np.int64)
 
 
 def _learning(shared, balance: np.ndarray, rate: float, turn: int):
