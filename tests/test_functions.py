@@ -172,3 +172,13 @@ def test_content_types(spark):
     known = mimetypes.MimeTypes(filenames=())
     paths = ["a.txt", "b/c.HTML", "x.tar.gz", "x.tgz", "x.svgz", "p.JPG", "noext", ".bashrc", "a.b/c", "x.gz", "x.unknown", "d.json", "q.", "..x.png"]
     assert column(spark, paths, content_type) == [known.guess_type(p)[0] for p in paths]
+
+
+def test_created_table_stops_at_the_first_match(spark):
+    """The text behind the first CREATE TABLE is not searched for another."""
+    from tallyfold.functions.ddl import created_table
+
+    texts = ['create table if not exists "m"."a b" (x int); CREATE TABLE c (i)', "CREATE TABLE IF (x)", "nothing", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", created_table(F.col("t")).alias("name"))
+    assert [r["name"] for r in found.orderBy("i").collect()] == ["m.a b", "IF", None, None]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
