@@ -246,3 +246,24 @@ def test_documented_columns_skip_table_rows(spark, rows):
     raw = [("m.a", "NULL", "0"), ("m.a", "x", "1"), ("m.a", "y", ""), ("m.a", "z", "NULL")]
     df = spark.createDataFrame([r + ("",) * 6 for r in raw], CATALOG_HEADER)
     assert rows(documented_columns(typed_catalog(df)), "column", "order") == [("x", 1)]
+
+
+def test_metadata_keys_keep_an_orders_numbers_together(spark, rows, tmp_path):
+    """Equal and null line numbers count once; line items are dealt by their order alone, so those of one stay side by side."""
+    from tallyfold.plans.schema_catalog import metadata_keys
+
+    spark.createDataFrame([(1, 7), (2, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(1, 1), (1, 1), (1, 2), (2, 2), (2, None), (2, None), (None, 1)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = metadata_keys(spark, str(tmp_path))
+    assert rows(keys, "kind", "table", "column", "position", "ref_table", "ref_column") == [
+        ("FOREIGN KEY", "order_1", "c1", 1, "order_1", "c1"),
+        ("FOREIGN KEY", "order_1", "c2", 2, "order_1", "c2"),
+        ("FOREIGN KEY", "order_2", "c2", 2, "order_1", "c2"),
+        ("PRIMARY KEY", "order_1", "c1", 1, None, None),
+        ("PRIMARY KEY", "order_1", "c2", 2, None, None),
+        ("PRIMARY KEY", "order_2", None, None, None, None),
+        ("PRIMARY KEY", "order_2", "c2", 2, None, None),
+    ]
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "l_linenumber" in line]
