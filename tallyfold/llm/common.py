@@ -156,13 +156,18 @@ class Words:
 
     def coded(self, lower: bool = False) -> tuple[np.ndarray, list[bytes]]:
         """Each word as its place in a list of the distinct words; ``lower`` folds A-Z."""
+        codes, words = self.dictionary(lower)
+        return codes, words.to_pylist()
+
+    def dictionary(self, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+        """``coded`` with the distinct words as an array."""
         data = self.data[self._word_bytes]
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         offsets = np.concatenate([[0], np.cumsum(self.end - self.start)])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = pc.dictionary_encode(words)
-        return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word."""

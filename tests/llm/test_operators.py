@@ -203,6 +203,15 @@ def test_toxicity_knows_rare_words(spark):
     assert last["evidence"][0]["toxic"] == 1 and last["evidence"][0]["doc_id"] in ("32", "33")
 
 
+def test_toxicity_takes_repeated_examples_as_often_as_they_come(spark):
+    texts = [(1, "vile words"), (1, "vile words"), (1, "other text"), (2, "plain words"), (2, None), (None, "no id"), (3, "unlabelled")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 1)], "doc_id long, toxic int")
+    model = toxicity.Model(docs, labels, 10)
+    assert sorted(zip(model.names, model.toxic.tolist(), strict=True)) == [("1", 1.0)] * 3 + [("2", 0.0)] * 2
+    assert (toxicity.Model(docs, labels, 2).stands_for == [1.5, 1.5, 1, 1]).all()
+
+
 def test_index_finds_the_nearest():
     random = np.random.default_rng(3)
     examples = []
@@ -221,6 +230,40 @@ def test_index_finds_the_nearest():
         assert np.allclose(cosines, all_[expected]) and set(names) == set(expected)
 
 
+def test_index_finds_the_nearest_with_few_frequent_terms(monkeypatch):
+    random = np.random.default_rng(5)
+    examples = []
+    for i in range(700):
+        term = np.unique(np.append(random.choice(400, random.integers(0, 9)), random.choice(6, 2) + 20 * (i % 20)))
+        weight = random.random(len(term)) + 0.1
+        examples.append((term, weight / np.linalg.norm(weight)))
+    dense = np.zeros((700, 400))
+    for i, (term, weight) in enumerate(examples):
+        dense[i, term] = weight
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    for frequent in (0, 7, 400):
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        found = toxicity.Index(examples, 400).all_nearest(examples, leave_out=True)
+        for i, (names, cosines) in enumerate(found):
+            all_ = np.round(dense @ dense[i], 9)
+            order = np.lexsort((np.arange(700), -all_))
+            expected = [j for j in order if all_[j] > 0 and j != i][: toxicity.NEIGHBOURS]
+            assert np.allclose(cosines, all_[expected]) and len(names) == len(expected) and i not in names
+        assert i == 699
+
+
+def test_terms_of_whole_batches():
+    words = [b"(Vile!)", "\u00dcn\u00efc\u00f6d\u00e9s".encode(), "\u03a3\u0391\u03a3.".encode(), b"...", b"abcd~", b"x\xff\xfeyzabc", b"caf\xc3", "\u65e5\u672c\u8a9e".encode() * 4, b"abcdefgh"]
+    hashes, owner = toxicity.terms_of(pa.array(words, pa.large_binary()))
+    alone = [toxicity.terms_of(pa.array([w], pa.large_binary()))[0] for w in words]
+    assert [set(hashes[owner == i].tolist()) for i in range(len(words))] == [set(x.tolist()) for x in alone]
+    assert [len(set(x.tolist())) for x in alone] == [1, 5, 1, 0, 1, 3, 1, 5, 5]
+    lower, _ = toxicity.terms_of(pa.array([b"vile"], pa.large_binary()))
+    assert set(lower.tolist()) == set(alone[0].tolist())
+    # The mark of a beginning: "abcd~" is the beginning of "abcdefgh" too, as ever.
+    assert set(alone[4].tolist()) <= set(alone[8].tolist())
+
+
 def test_parts_keep_every_row():
     texts = ["a" * 5, None, "", "b" * 40, "\u00e9" * 3, "c", None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
