@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import Words, among, components, grams, least_linked, mixed, parts, saved, seeded, table, text_hash
+from tallyfold.session import bounded_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -266,6 +267,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     are in no class. Repeated rows and copies are one text. An empty table has no class.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(text_hash().alias("name"), "text").where("text is not null")
     idf_of = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(docs)))
     signed = texts.mapInArrow(_banded(idf_of), "name string, bands array<long>, samples array<short>").groupBy("name").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyfold.llm.common import Words, grams, mixed, parts, saved, table, text_hash
+from tallyfold.session import bounded_batches
 
 WINDOW = 35
 RUN = 3
@@ -253,6 +254,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``PACKED`` bytes together, or one longer one.
     """
     spark, texts = docs.sparkSession, docs.select("text")
+    bounded_batches(spark)
     counts = saved(texts.mapInArrow(_minimisers(window), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")), "minimisers")
     strings = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > max(32, strings // HOT_SHARE)).select("minimiser").toPandas()["minimiser"].to_numpy(np.int64)

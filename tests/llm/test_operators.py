@@ -273,6 +273,26 @@ def test_parts_keep_every_row():
         assert all(len(part) and (len(part) == 1 or sum(len((r["text"] or "").encode()) for r in part.to_pylist()) <= most) for part in cut)
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 100000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    given = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        substrings.without_repeats(docs.limit(1))
+        assert max(r[0] for r in docs.mapInArrow(sizes, "size long").collect()) < 8 << 20
+        spark.conf.set(name, "16m")
+        substrings.without_repeats(docs.limit(1))
+        assert spark.conf.get(name) == "16m"
+    finally:
+        spark.conf.set(name, given) if given else spark.conf.unset(name)
+
+
 def test_language(docs):
     got = {r["doc_id"]: r for r in language.identified(docs.selectExpr("doc_id", "text", "lang as declared", "source as host", "name"), language.trained(docs)).collect()}
     assert [got[i]["accepted"] for i in (3, 4, 5)] == [False] * 3 and got[6]["lang"] == "en"
